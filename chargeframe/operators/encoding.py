@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargeframe.functions.hashing import hash_fold
-from chargeframe.runtime import small_side
+from chargeframe.runtime import durable, small_side
 
 
 def target_stats(df: DataFrame, col: str, y: str) -> DataFrame:
@@ -66,17 +66,24 @@ def fold_encodings(train: DataFrame, col: str, y: str, folds: int, fold: Column)
             total.select("_fold", F.col("g.mean").alias("_default")))
 
 
-def target_encode(df: DataFrame, col: str, y: str, key: list[str], is_train: Column, out: str,
+def target_encode(df: DataFrame, cols: dict[str, str], y: str, key: list[str], is_train: Column,
                   folds: int = 5, seed=42) -> DataFrame:
-    """Encode ``col``: train rows without their own fold, other rows from all train rows."""
+    """Encode columns, given as {output: column}.
+
+    Train rows get an encoding without their own fold, other rows the one over
+    all train rows. Every encoding is computed from ``df`` itself, in a pass
+    over its own column, before anything is joined.
+    """
     fold = hash_fold(seed, folds, *key)
-    encodings, defaults = fold_encodings(df.filter(is_train), col, y, folds, fold)
-    side = small_side(encodings.select(F.col(col).alias("_value"), F.col("_fold").alias("_f"), "encoded"))
-    keyed = df.withColumn("_fold", F.when(is_train, fold).otherwise(F.lit(-1)))
-    # a missing value is a value of its own; at most folds + 1 default rows
-    same = F.col(col).eqNullSafe(F.col("_value")) & (F.col("_fold") == F.col("_f"))
-    joined = keyed.join(side, same, "left").join(F.broadcast(defaults), "_fold", "left")
-    return joined.withColumn(out, F.coalesce("encoded", "_default")).select(*df.columns, out)
+    out = df.withColumn("_fold", F.when(is_train, fold).otherwise(F.lit(-1)))
+    for name, col in cols.items():
+        encodings, defaults = fold_encodings(df.filter(is_train), col, y, folds, fold)
+        side = small_side(encodings.select(F.col(col).alias("_value"), F.col("_fold").alias("_f"), "encoded"))
+        # a missing value is a value of its own; at most folds + 1 default rows
+        same = F.col(col).eqNullSafe(F.col("_value")) & (F.col("_fold") == F.col("_f"))
+        out = (out.join(side, same, "left").join(F.broadcast(durable(defaults)), "_fold", "left")
+               .withColumn(name, F.coalesce("encoded", "_default")).drop("_value", "_f", "encoded", "_default"))
+    return out.select(*df.columns, *cols)
 
 
 def full_encoding(train: DataFrame, col: str, y: str) -> tuple[DataFrame, float]:

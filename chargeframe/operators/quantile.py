@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chargeframe.operators.aggregates import pinball
 from chargeframe.operators.learners import parallel
-from chargeframe.runtime import durable, spread
+from chargeframe.runtime import durable, durable_spread
 from chargeframe.schemas import TARGET
 
 # Fixed values.
@@ -114,7 +114,7 @@ def fit_quantiles(train: DataFrame, val: DataFrame, alphas: tuple[float, ...] =
     """One model per level over one shared table."""
     cols = [label, features]
     both = train.select(*cols, F.lit(False).alias("_val")).unionByName(val.select(*cols, F.lit(True).alias("_val")))
-    data = durable(spread(both))
+    data = durable_spread(both)
     return dict(zip(alphas, parallel([lambda a=a: fit_quantile(data, a, label, features, **params) for a in alphas])))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chargeframe.functions.energy import urgency_band
 from chargeframe.operators.cleaning import active_sessions
 from chargeframe.operators.joins import HORIZON_HOURS, STEP_MINUTES, for_top_users, session_slots
-from chargeframe.runtime import BROADCAST_BYTES, durable, small_side, spread
+from chargeframe.runtime import BROADCAST_BYTES, durable, durable_spread, small_side
 
 GROUP = ["site", "date"]
 
@@ -307,12 +307,12 @@ def schedule(sessions: DataFrame, params: ScheduleParams = DEFAULT, rounds: int
     step = peak_step if peak_step is not None else math.sqrt(2 * math.log(T) / rounds)
     fill = _fill_arrays(params)
     start, low = _cap_break(params)
-    base = durable(spread(energy_targets(sessions, params).withColumns({
+    base = durable_spread(energy_targets(sessions, params).withColumns({
         "target_kWh": F.least(F.col("target_kWh"), _capacity(params)),
         "weight": F.coalesce(F.col("urgency_flex_interaction").cast("double"), F.lit(1.0)),
         "start_slot": start, "low_kw": low,
     }).select(*GROUP, "session_id", "parsed_userID", "urgency_score", "flexibility_index", "max_slots",
-              "target_kWh", "weight", "start_slot", "low_kw")))
+              "target_kWh", "weight", "start_slot", "low_kw"))
     state = durable(base.select(*GROUP).distinct().withColumns({
         "lam": F.array_repeat(F.lit(1.0 / T), T), "mu": F.array_repeat(F.lit(0.0), T),
         "history": F.array().cast("array<double>"), "bound": F.lit(float("-inf"))}))

@@ -11,6 +11,7 @@ from chargeframe.functions.timestamps import add_calendar, cyclic_hour, duration
 from chargeframe.operators.cleaning import drop_blank, drop_empty_json, drop_missing
 from chargeframe.operators.encoding import target_encode
 from chargeframe.operators.ordering import stratified_split
+from chargeframe.runtime import materialize
 from chargeframe.schemas import FEATURES, TARGET
 
 ENCODED = {"station_encoded": "stationID", "user_encoded": "parsed_userID"}
@@ -67,10 +68,12 @@ def row_features() -> list[str]:
 
 def training_table(sessions: DataFrame, key: str = "sessionID", strata: str = "month", folds: int = 5,
                    seed=42, exact: bool = True) -> DataFrame:
-    """Features, split labels and target encodings; rows with gaps are dropped."""
-    rows = drop_missing(add_features(sessions), [TARGET, *row_features()])
+    """Features, split labels and target encodings; rows with gaps are dropped.
+
+    The feature rows are written once: the split and each encoding read two to
+    four of their columns.
+    """
+    rows = materialize(drop_missing(add_features(sessions), [TARGET, *row_features()]), "features")
     df = stratified_split(rows, strata, key, seed=seed, exact=exact)
     train: Column = F.col("split") == "train"
-    for out, col in ENCODED.items():
-        df = target_encode(df, col, TARGET, [key], train, out, folds, seed)
-    return df
+    return target_encode(df, ENCODED, TARGET, [key], train, folds, seed)

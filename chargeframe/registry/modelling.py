@@ -16,7 +16,7 @@ from chargeframe.plans import forecast as P
 from chargeframe.plans.prepare import training_table
 from chargeframe.registry.book import Book
 from chargeframe.registry.sql import SESSIONS, with_ctes
-from chargeframe.runtime import durable, scratch_path, spread
+from chargeframe.runtime import durable_spread, materialize, scratch_path
 from chargeframe.schemas import TARGET, feature_set
 from chargeframe.sources import models as store
 
@@ -33,12 +33,13 @@ QUICK = {"folds": 2, "stack_params": QUICK_STACK, "quantile_params": QUICK_QUANT
 
 
 def _table(spark, sf):
-    return durable(spread(training_table(adapters.sessions(spark, sf))))
+    return materialize(training_table(adapters.sessions(spark, sf)), "training")
 
 
 def _parts(spark, sf):
     """Train, validation and test rows with their feature vectors."""
-    return P.split_parts(learners.assemble(_table(spark, sf), feature_set("honest")))
+    rows = learners.assemble(_table(spark, sf), feature_set("honest")).select("sessionID", "split", TARGET, "features")
+    return P.split_parts(durable_spread(rows))
 
 
 def _r(c, n=6):
@@ -165,5 +166,3 @@ def model_store(spark, sf):
     different = (F.col("p_forest") != F.col("old_forest")) | (F.col("pred_median") != F.col("old_median"))
     return again.agg(F.count("*").alias("n_rows"), F.count_if(different).alias("n_different"))
 
-
-__all__ = ["ORACLE", "QUERIES"]

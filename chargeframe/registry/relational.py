@@ -424,8 +424,8 @@ def target_encode_oof(spark, sf):
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", UNIT_PRICE.alias("y"),
         (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("is_train"))
-    out = encoding.target_encode(items, "l_suppkey", "y", ["l_orderkey", "l_linenumber"], F.col("is_train"),
-                                 "supplier_encoded")
+    out = encoding.target_encode(items, {"supplier_encoded": "l_suppkey"}, "y", ["l_orderkey", "l_linenumber"],
+                                 F.col("is_train"))
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", "is_train", _r("supplier_encoded", 4).alias("supplier_encoded"))
 
 

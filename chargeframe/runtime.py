@@ -62,13 +62,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a compute-heavy stage at least one partition per core.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows to the shared folder as Parquet and read them back.
 
-    Matters for small inputs only, which Spark reads as one or two splits.
+    For tables that several later passes read a few columns of: unlike a
+    checkpoint, Parquet lets each pass read only its columns.
     """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def durable_spread(df: DataFrame, rows_per_task: int = 1000) -> DataFrame:
+    """``durable`` for rows that compute-heavy stages run over again and again.
+
+    A small input is read as one or two splits and would keep one or two cores
+    busy; its rows are spread over more of them. Larger inputs stay as they are.
+    """
+    kept = durable(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = kept.rdd.getNumPartitions()
+    if parts >= cores:
+        return kept
+    wanted = min(cores, kept.count() // rows_per_task)
+    return durable(kept.repartition(wanted)) if wanted > parts else kept
 
 
 def _value_bytes(df: DataFrame):
