@@ -30,47 +30,42 @@ def is_blank_json(c) -> Column:
     return text.isNull() | text.isin(EMPTY_TEXTS)
 
 
-def json_items(c) -> Column:
-    """Elements of a JSON list as JSON texts; a single object is a list of one."""
-    text = _strip(c)
-    valid = ~is_blank_json(text) & F.try_parse_json(text).isNotNull()
-    single = F.when(text.startswith("{"), F.array(text))
-    return F.when(valid, F.coalesce(single, F.from_json(text, "array<string>")))
-
-
 def parse_user_inputs(df: DataFrame, text: str = "userInputs", out: str = "latest",
                       count: str = "revisionCount") -> DataFrame:
     """The last revision as a struct, and the number of revisions.
 
-    Blank or malformed text, and a last element that is not an object, give
-    a struct of nulls or null.
+    The text is a JSON list of revisions or a single one. Blank or malformed
+    text, and a last element that is not an object, give a struct of nulls or
+    null. The steps are columns of their own, so that each text is parsed once.
     """
-    items = json_items(text)
-    last = F.try_element_at(items, F.lit(-1))
-    return df.withColumns({
-        out: F.from_json(F.when(_strip(last).startswith("{"), last), USER_INPUT),
-        count: F.nullif(F.size(items), F.lit(0)),
-    }).withColumn(count, F.when(F.col(count) > 0, F.col(count)))
+    body, items, last = F.col("_body"), F.col("_items"), F.col("_last")
+    single = F.when(F.try_parse_json(body).isNotNull(), F.array(body))
+    listed = F.when(body.startswith("{"), single).otherwise(F.from_json(body, "array<string>"))
+    return (
+        df.withColumn("_body", _strip(text))
+        .withColumn("_items", F.when(~body.isin(EMPTY_TEXTS), listed))
+        .withColumn("_last", _strip(F.try_element_at(items, F.lit(-1))))
+        .withColumns({
+            out: F.from_json(F.when(last.startswith("{"), last), USER_INPUT),
+            count: F.when(F.size(items) > 0, F.size(items)),
+        }).drop("_body", "_items", "_last"))
 
 
-def reply_payload(c="content") -> Column:
+def extract_json_reply(df: DataFrame, content: str = "content", out: str = "payload") -> DataFrame:
     """The JSON text of a reply, null when what is left is not valid JSON.
 
     Text before the last end-of-reasoning mark is cut, then the first fenced
     block is taken.
     """
-    text = _strip(F.substring_index(c, REASONING_END, -1))
+    text, body = F.col("_text"), F.col("_body")
 
     def fenced(mark: str) -> Column:
         after = F.get(F.split(text, mark, -1), F.lit(1))
         return _strip(F.get(F.split(after, FENCE, -1), F.lit(0)))
 
-    body = F.when(text.contains(JSON_FENCE), fenced(JSON_FENCE)).when(text.contains(FENCE), fenced(FENCE)).otherwise(text)
-    return F.when(F.try_parse_json(body).isNotNull(), body)
-
-
-def extract_json_reply(df: DataFrame, content: str = "content", out: str = "payload") -> DataFrame:
-    return df.withColumn(out, reply_payload(content))
+    chosen = F.when(text.contains(JSON_FENCE), fenced(JSON_FENCE)).when(text.contains(FENCE), fenced(FENCE)).otherwise(text)
+    return (df.withColumn("_text", _strip(F.substring_index(content, REASONING_END, -1))).withColumn("_body", chosen)
+            .withColumn(out, F.when(F.try_parse_json(body).isNotNull(), body)).drop("_text", "_body"))
 
 
 def _short_name(field: str) -> str:

@@ -7,12 +7,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Evening peak hours (inclusive) and the default weekday.
 PEAK_HOURS = (17, 21)
 DEFAULT_WEEKDAY = "Monday"
 
-_EPOCH = dt.datetime(1970, 1, 1)
 _HAS_ZONE = r"\d{1,2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?|[A-Z]{3,4})$"
 
 
@@ -22,7 +22,15 @@ def _col(c) -> Column:
 
 def utc_wall_clock(ts: Column) -> Column:
     """An instant as ``timestamp_ntz`` in UTC, for any session time zone."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit(_EPOCH).cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+
+
+def utc_literal(value: dt.datetime, kind: T.DataType) -> Column:
+    """A UTC time as a literal of a timestamp type, for any session time zone."""
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    text = value.isoformat(sep=" ")
+    return F.lit(text).cast(kind) if isinstance(kind, T.TimestampNTZType) else F.lit(text + "+00:00").cast(kind)
 
 
 def parse_utc(c) -> Column:

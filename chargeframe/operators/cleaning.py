@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chargeframe.functions.jsontext import is_blank_json
+from chargeframe.functions.timestamps import utc_literal
 
 # Fixed values.
 MIN_REMAINING_KWH = 0.5
@@ -62,7 +63,7 @@ def on_day(df: DataFrame, ts: str, day: dt.date | str) -> DataFrame:
     day = dt.date.fromisoformat(day) if isinstance(day, str) else day
     start = dt.datetime.combine(day, dt.time())
     kind = df.schema[ts].dataType
-    lo, hi = F.lit(start).cast(kind), F.lit(start + dt.timedelta(days=1)).cast(kind)
+    lo, hi = utc_literal(start, kind), utc_literal(start + dt.timedelta(days=1), kind)
     return df.filter((F.col(ts) >= lo) & (F.col(ts) < hi))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargeframe.functions.hashing import hash_fold
-from chargeframe.runtime import durable, small_side
+from chargeframe.runtime import small_side
 
 
 def target_stats(df: DataFrame, col: str, y: str) -> DataFrame:
@@ -36,34 +36,40 @@ def _merged(parts: Column, keep) -> Column:
 
 
 def _fold_moments(df: DataFrame, keys: list[str], y: str) -> DataFrame:
-    per = df.groupBy(*keys, "_fold").agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var"))
-    entry = F.struct("_fold", "n", "mean", "var")
-    return per.filter(F.col("n") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("parts"))
+    per = df.groupBy(*keys, "_fold").agg(F.count(y).alias("_n"), F.avg(y).alias("_mean"), F.var_pop(y).alias("_var"))
+    entry = F.struct("_fold", F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.col("_var").alias("var"))
+    return per.filter(F.col("_n") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_parts"))
 
 
-def fold_encodings(train: DataFrame, col: str, y: str, folds: int, fold: Column) -> tuple[DataFrame, DataFrame]:
-    """Smoothed encodings that leave out one fold each, and defaults per fold.
+def fold_encodings(train: DataFrame, col: str, y: str, folds: int, fold: Column) -> tuple[DataFrame, list]:
+    """Smoothed encodings that leave out one fold each, and the defaults.
 
     ``_fold`` −1 stands for the encoding over all train rows. With n rows of
     a value, variance v inside it and V overall, the weight of its own mean is
-    λ = n·V / (n·V + v).
+    λ = n·V / (n·V + v). The defaults are the overall means for −1, 0, 1, …;
+    only these folds + 1 pairs of moments come to the driver.
     """
     folded = train.select(col, y, fold.alias("_fold"))
     left_out = F.explode(F.sequence(F.lit(-1), F.lit(folds - 1)))
 
-    def without_fold(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
-        merged = frame.select(*keys, "parts", left_out.alias("_fold"))
+    def without_fold(frame: DataFrame, keys: list[str]) -> DataFrame:
+        merged = frame.select(*keys, "_parts", left_out.alias("_fold"))
         own = F.col("_fold")
-        return merged.select(*keys, "_fold", _merged(F.col("parts"), lambda p: p["_fold"] != own).alias(name))
+        return merged.select(*keys, "_fold", _merged(F.col("_parts"), lambda p: p["_fold"] != own).alias("_m"))
 
-    total = without_fold(_fold_moments(folded, [], y), [], "g")
-    per = without_fold(_fold_moments(folded, [col], y), [col], "c")
-    joined = per.filter(F.col("c.n") > 0).join(F.broadcast(total), "_fold")
-    own = F.col("c.n") * F.col("g.var")
-    lam = F.coalesce(F.try_divide(own, own + F.col("c.var")), F.lit(0.0))
-    encoded = lam * F.col("c.mean") + (F.lit(1.0) - lam) * F.col("g.mean")
-    return (joined.select(col, "_fold", encoded.alias("encoded")),
-            total.select("_fold", F.col("g.mean").alias("_default")))
+    total = without_fold(_fold_moments(folded, [], y), []).select("_fold", "_m.mean", "_m.var").orderBy("_fold").collect()
+    means, variances = [r["mean"] for r in total], [r["var"] for r in total]
+    overall_mean, overall_var = pick(means, F.col("_fold")), pick(variances, F.col("_fold"))
+    own = F.col("_m.n") * overall_var
+    lam = F.coalesce(F.try_divide(own, own + F.col("_m.var")), F.lit(0.0))
+    encoded = lam * F.col("_m.mean") + (F.lit(1.0) - lam) * overall_mean
+    per = without_fold(_fold_moments(folded, [col], y), [col]).filter(F.col("_m.n") > 0)
+    return per.select(col, "_fold", encoded.alias("encoded")), means
+
+
+def pick(values: list, fold: Column) -> Column:
+    """The entry of a short list that belongs to a fold, where −1 comes first."""
+    return F.get(F.array(*[F.lit(v).cast("double") for v in values]), fold + F.lit(1))
 
 
 def target_encode(df: DataFrame, cols: dict[str, str], y: str, key: list[str], is_train: Column,
@@ -72,22 +78,21 @@ def target_encode(df: DataFrame, cols: dict[str, str], y: str, key: list[str], i
 
     Train rows get an encoding without their own fold, other rows the one over
     all train rows. Every encoding is computed from ``df`` itself, in a pass
-    over its own column, before anything is joined.
+    over its own column, before anything is joined. A missing value is a value
+    of its own.
     """
     fold = hash_fold(seed, folds, *key)
     out = df.withColumn("_fold", F.when(is_train, fold).otherwise(F.lit(-1)))
     for name, col in cols.items():
-        encodings, defaults = fold_encodings(df.filter(is_train), col, y, folds, fold)
+        encodings, means = fold_encodings(df.filter(is_train), col, y, folds, fold)
         side = small_side(encodings.select(F.col(col).alias("_value"), F.col("_fold").alias("_f"), "encoded"))
-        # a missing value is a value of its own; at most folds + 1 default rows
         same = F.col(col).eqNullSafe(F.col("_value")) & (F.col("_fold") == F.col("_f"))
-        out = (out.join(side, same, "left").join(F.broadcast(durable(defaults)), "_fold", "left")
-               .withColumn(name, F.coalesce("encoded", "_default")).drop("_value", "_f", "encoded", "_default"))
+        out = (out.join(side, same, "left").withColumn(name, F.coalesce("encoded", pick(means, F.col("_fold"))))
+               .drop("_value", "_f", "encoded"))
     return out.select(*df.columns, *cols)
 
 
 def full_encoding(train: DataFrame, col: str, y: str) -> tuple[DataFrame, float]:
     """The encoding over all train rows as (``col``, ``encoded``), and its default."""
-    encodings, defaults = fold_encodings(train, col, y, 1, F.lit(0))
-    table = encodings.filter("_fold = -1").select(col, "encoded")
-    return table, defaults.filter("_fold = -1").first()["_default"]
+    encodings, means = fold_encodings(train, col, y, 1, F.lit(0))
+    return encodings.filter("_fold = -1").select(col, "encoded"), means[0]

@@ -32,8 +32,13 @@ QUICK_QUANTILE = {"rounds": 8, "depth": 4, "rate": 0.3, "patience": 4}
 QUICK = {"folds": 2, "stack_params": QUICK_STACK, "quantile_params": QUICK_QUANTILE}
 
 
+def _sessions(spark, sf):
+    """The session table as the cleaning steps leave it in storage."""
+    return materialize(adapters.sessions(spark, sf), "sessions")
+
+
 def _table(spark, sf):
-    return materialize(training_table(adapters.sessions(spark, sf)), "training")
+    return materialize(training_table(_sessions(spark, sf)), "training")
 
 
 def _parts(spark, sf):
@@ -56,7 +61,7 @@ def feature_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     names = feature_set("leaky")
-    v = learners.assemble(training_table(adapters.sessions(spark, sf)), names).select(
+    v = learners.assemble(training_table(_sessions(spark, sf)), names).select(
         vector_to_array("features").alias("v"))
     at = {n: F.get("v", F.lit(i)) for i, n in enumerate(names)}
     return v.agg(F.count("*").alias("n_rows"), F.max(F.size("v")).alias("n_features"),

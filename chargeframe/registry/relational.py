@@ -10,8 +10,8 @@ from chargeframe.functions.hashing import hash_fold
 from chargeframe.functions.jsontext import parse_user_inputs
 from chargeframe.operators import aggregates, cleaning, encoding, joins, ordering
 from chargeframe.registry.book import Book, table
-from chargeframe.registry.sql import (ACTIVE, BASE, FILLED, LOADS, PREDICTIONS, SESSIONS, SLOTS, seeded_hash, with_ctes)
-from chargeframe.runtime import union_all
+from chargeframe.registry.sql import ACTIVE, BASE, PREDICTIONS, SESSIONS, seeded_hash, with_ctes
+from chargeframe.runtime import materialize, union_all
 
 B = Book()
 QUERIES, ORACLE = B.queries, B.oracle
@@ -129,9 +129,8 @@ def rename_prefix(spark, sf):
 
 # --- joins ----------------------------------------------------------------------
 
-UNIT_PRICE = F.col("l_extendedprice") / F.col("l_quantity")
-SMOOTHED = """
-  sum_n * gvar / nullif(sum_n * gvar + cvar, 0)"""
+def _unit_price():
+    return F.col("l_extendedprice") / F.col("l_quantity")
 
 
 def _encoding_sql(train: str, col: str, y: str) -> str:
@@ -152,7 +151,7 @@ train AS (SELECT l_partkey, l_extendedprice / l_quantity AS y FROM lineitem WHER
 def encode_lookup(spark, sf):
     items = table(spark, sf, "lineitem")
     before = items.filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
-    enc, default = encoding.full_encoding(before.withColumn("y", UNIT_PRICE), "l_partkey", "y")
+    enc, default = encoding.full_encoding(before.withColumn("y", _unit_price()), "l_partkey", "y")
     return joins.apply_encoding(items.select("l_orderkey", "l_linenumber", "l_partkey"), enc, "l_partkey", default,
                                 "part_encoded").withColumn("part_encoded", _r("part_encoded", 4))
 
@@ -280,7 +279,7 @@ SELECT 'cqr', round(s, 6) FROM (
   SELECT {_CQR} AS s, row_number() OVER (ORDER BY {_CQR}) AS rn, count(*) OVER () AS n FROM pred)
 WHERE rn = ((n + 1) * 9 + 9) // 10""", PREDICTIONS))
 def conformal_quantile(spark, sf):
-    pred = adapters.naive_predictions(adapters.sessions(spark, sf))
+    pred = materialize(adapters.naive_predictions(adapters.sessions(spark, sf)), "predictions")
     ref = aggregates.conformal_radius(pred, aggregates.absolute_score(), 0.90, "reference")
     cqr = aggregates.conformal_radius(pred, aggregates.cqr_score(), 0.90, "cqr")
     return spark.sql("SELECT inline(array(named_struct('mode', 'reference', 'q_hat', round(:ref, 6)),"
@@ -293,7 +292,7 @@ FROM (SELECT l_suppkey, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM p
   (SELECT avg(y) AS gm, var_pop(y) AS gv FROM p)""",
     "p AS (SELECT l_suppkey, l_extendedprice / l_quantity AS y FROM lineitem)"))
 def target_stats(spark, sf):
-    items = table(spark, sf, "lineitem").select("l_suppkey", UNIT_PRICE.alias("y"))
+    items = table(spark, sf, "lineitem").select("l_suppkey", _unit_price().alias("y"))
     return encoding.target_stats(items, "l_suppkey", "y").select(
         "l_suppkey", "n", _r("mean", 4).alias("mean"), _r("var", 3).alias("var"),
         _r("global_mean", 4).alias("global_mean"), _r("global_var", 3).alias("global_var"))
@@ -334,7 +333,7 @@ def pinball_loss(spark, sf):
 SELECT p."sessionID", round(pred_05 - q, 5) AS lower_conformal, round(pred_95 + q, 5) AS upper_conformal
 FROM pred p, (SELECT quantile_cont(abs("true_kWh" - pred_median), 0.9) AS q FROM pred)""", PREDICTIONS))
 def conformal_interval(spark, sf):
-    pred = adapters.naive_predictions(adapters.sessions(spark, sf))
+    pred = materialize(adapters.naive_predictions(adapters.sessions(spark, sf)), "predictions")
     q_hat = aggregates.conformal_radius(pred, aggregates.absolute_score())
     return aggregates.conformalize(pred, q_hat).select(
         "sessionID", _r("lower_conformal", 5).alias("lower_conformal"), _r("upper_conformal", 5).alias("upper_conformal"))
@@ -422,7 +421,7 @@ SELECT p.l_orderkey, p.l_linenumber, p.l_suppkey, p.is_train, round(coalesce(e.e
 FROM p JOIN g USING (fold) LEFT JOIN e ON e.fold = p.fold AND e.l_suppkey = p.l_suppkey""", _OOF))
 def target_encode_oof(spark, sf):
     items = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", UNIT_PRICE.alias("y"),
+        "l_orderkey", "l_linenumber", "l_suppkey", _unit_price().alias("y"),
         (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("is_train"))
     out = encoding.target_encode(items, {"supplier_encoded": "l_suppkey"}, "y", ["l_orderkey", "l_linenumber"],
                                  F.col("is_train"))

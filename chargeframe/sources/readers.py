@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chargeframe.functions.timestamps import utc_literal
 from chargeframe.schemas import SESSION, SESSION_PAGE
 
 CORRUPT = "_corrupt"
@@ -70,7 +73,7 @@ def explode_user_inputs(df: DataFrame, inputs: str = "userInputs", key: str = "s
     return df.select(key, F.posexplode(inputs).alias("revision", "input")).select(key, "revision", "input.*")
 
 
-def between_times(df: DataFrame, ts: str, lo, hi) -> DataFrame:
+def between_times(df: DataFrame, ts: str, lo: dt.datetime, hi: dt.datetime) -> DataFrame:
     """Rows with ``lo <= ts <= hi``; the bounds reach the Parquet scan."""
     kind = df.schema[ts].dataType
-    return df.filter(F.col(ts).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)))
+    return df.filter(F.col(ts).between(utc_literal(lo, kind), utc_literal(hi, kind)))
