@@ -18,8 +18,7 @@ from chargeframe.runtime import small_side
 def target_stats(df: DataFrame, col: str, y: str) -> DataFrame:
     """Per value n, mean and population variance, with the global mean and variance."""
     per = df.groupBy(col).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var"))
-    total = df.agg(F.avg(y).alias("global_mean"), F.var_pop(y).alias("global_var"))
-    return per.crossJoin(F.broadcast(total))
+    return per.withColumns({"global_mean": df.agg(F.avg(y)).scalar(), "global_var": df.agg(F.var_pop(y)).scalar()})
 
 
 def _merged(parts: Column, keep) -> Column:

@@ -200,9 +200,9 @@ def permutation_importance(score: Callable[[DataFrame], DataFrame], df: DataFram
         versions.append(F.struct(F.lit(name).alias("feature"), *[
             F.col(f"_donor.{c}").alias(c) if c == name else F.col(c) for c in features]))
     rows = paired.select(y, F.inline(F.array(*versions)))
-    mae = score(rows).groupBy("feature").agg(F.avg(F.abs(F.col(y) - F.col(prediction))).alias("mae"))
-    base = mae.filter("feature = '(none)'").select(F.col("mae").alias("_base"))
-    return (mae.filter("feature <> '(none)'").crossJoin(F.broadcast(base))
-            .select("feature", "mae", (F.col("mae") - F.col("_base")).alias("mae_increase"))
+    # one row per feature
+    mae = durable(score(rows).groupBy("feature").agg(F.avg(F.abs(F.col(y) - F.col(prediction))).alias("mae")))
+    base = mae.filter("feature = '(none)'").first()["mae"]
+    return (mae.filter("feature <> '(none)'").withColumn("mae_increase", F.col("mae") - F.lit(base))
             .orderBy(F.desc("mae_increase"), "feature"))
 

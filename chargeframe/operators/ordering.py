@@ -156,9 +156,11 @@ def sample_n(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
     """Exactly min(n, rows) rows, those with the smallest seeded hash."""
     if n <= TOP_K_ROWS:
         return df.orderBy(seeded_hash(seed, key), key).limit(n)
-    cuts = _hash_cuts(df, [], [key], seed, {"take": F.least(F.lit(n), F.col("_n"))})
-    at = F.struct(seeded_hash(seed, key).alias("_h"), F.col(key))
-    return df.join(F.broadcast(cuts), how="left").filter(at <= F.col("_cut_take")).select(*df.columns)
+    cut = _hash_cuts(df, [], [key], seed, {"take": F.least(F.lit(n), F.col("_n"))}).first()["_cut_take"]
+    if cut is None:
+        return df.limit(0)
+    last = F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut[key]).alias(key))
+    return df.filter(F.struct(seeded_hash(seed, key).alias("_h"), F.col(key)) <= last)
 
 
 def sorted_counts(df: DataFrame, value: str) -> DataFrame:
