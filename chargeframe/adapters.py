@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chargeframe.functions.energy import behavior_rules
 from chargeframe.functions.hashing import hash_fraction
+from chargeframe.runtime import spread_scan
 from chargeframe.schemas import SESSION
 
 STATIONS, SITES = 53, 5
@@ -61,8 +62,13 @@ def augmented(base: DataFrame) -> DataFrame:
     return df.withColumn("grid_impact_proxy", F.when(_every(73), "unknown").otherwise(F.col("grid_impact_proxy")))
 
 
+def plain_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events table before augmentation."""
+    return base_sessions(spread_scan(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augmented(base_sessions(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return augmented(plain_sessions(spark, sf_dir))
 
 
 def main_columns(df: DataFrame) -> DataFrame:

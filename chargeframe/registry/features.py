@@ -64,7 +64,7 @@ def cyclic_hour(spark, sf):
 SELECT "sessionID", round(date_diff('microsecond', "connectionTime", "disconnectTime") / 3.6e9, 9) AS duration_hours
 FROM base""", BASE))
 def duration_hours(spark, sf):
-    df = adapters.base_sessions(table(spark, sf, "events"))
+    df = adapters.plain_sessions(spark, sf)
     return _rounded(df.select("sessionID", timestamps.duration_hours().alias("duration_hours")), ["duration_hours"], 9)
 
 
@@ -74,7 +74,7 @@ SELECT "sessionID", round("kWhDelivered" / nullif("parsed_kWhRequested", 0), 6)
   round("parsed_kWhRequested" / ("parsed_minutesAvailable" + 1e-5), 6) AS energy_per_minute,
   round("parsed_milesRequested" / ("parsed_WhPerMile" + 1e-5), 6) AS request_efficiency FROM base""", BASE))
 def energy_features(spark, sf):
-    df = energy.add_energy(adapters.base_sessions(table(spark, sf, "events")))
+    df = energy.add_energy(adapters.plain_sessions(spark, sf))
     cols = ["charging_efficiency", "requested_gap", "energy_per_minute", "request_efficiency"]
     return _rounded(df.select("sessionID", *cols), cols)
 
@@ -105,7 +105,7 @@ SELECT "sessionID", urgency_score, round(flexibility_index, 9) AS flexibility_in
     WHEN coalesce(nullif("parsed_kWhRequested", 0), 10e0) > 10 THEN 'medium' ELSE 'low' END AS grid_impact_proxy
 FROM sessions""", SESSIONS))
 def behavior_rules(spark, sf):
-    base = adapters.base_sessions(table(spark, sf, "events")).withColumns(energy.behavior_rules())
+    base = adapters.plain_sessions(spark, sf).withColumns(energy.behavior_rules())
     cols = ["urgency_score", "flexibility_index", "habit_stability", "grid_impact_proxy"]
     return _rounded(base.select("sessionID", *cols), cols[1:3], 9)
 
@@ -184,7 +184,7 @@ SELECT "sessionID", CASE WHEN form IN ('single', 'list') THEN "parsed_userID" EN
   CASE form WHEN 'single' THEN 1 WHEN 'no_object' THEN 2 WHEN 'list' THEN "revisionCount" END::INT AS "revisionCount"
 FROM forms""", BASE, PARSED))
 def parse_user_inputs(spark, sf):
-    texts = adapters.input_texts(adapters.base_sessions(table(spark, sf, "events")))
+    texts = adapters.input_texts(adapters.plain_sessions(spark, sf))
     parsed = jsontext.parse_user_inputs(texts.select("sessionID", "userInputs"))
     return parsed.select("sessionID", "latest.userID", F.round("latest.milesRequested", 6).alias("milesRequested"),
                          "latest.minutesAvailable", "revisionCount")
@@ -201,7 +201,7 @@ SELECT "sessionID", CASE WHEN form <> 'bad' AND form <> 'no_object' THEN "parsed
   dayname("connectionTime") AS day_of_week
 FROM forms WHERE form <> 'blank'""", BASE, PARSED))
 def normalize(spark, sf):
-    base = adapters.base_sessions(table(spark, sf, "events"))
+    base = adapters.plain_sessions(spark, sf)
     texts = adapters.input_texts(base).select("sessionID", "connectionTime", "userInputs")
     out = normalize_user_inputs(drop_empty_json(texts, "userInputs")).select(
         "sessionID", "parsed_userID", "parsed_milesRequested", "parsed_WhPerMile", "parsed_minutesAvailable",
@@ -215,7 +215,7 @@ SELECT 'id'||"sessionID" AS "item__id", "sessionID" AS "item_sessionID", "statio
   CASE WHEN event_id % 67 <> 0 THEN "parsed_userID" END AS "last_userID",
   CASE WHEN event_id % 67 <> 0 THEN "parsed_minutesAvailable" END AS "last_minutesAvailable" FROM base""", BASE))
 def flatten(spark, sf):
-    items = adapters.raw_items(adapters.base_sessions(table(spark, sf, "events")))
+    items = adapters.raw_items(adapters.plain_sessions(spark, sf))
     nested = items.select("item", F.try_element_at("item.userInputs", F.lit(-1)).alias("last"))
     return flatten_struct(nested, "_").select(
         "item__id", "item_sessionID", "item_stationID", "item_connectionTime", "last_userID", "last_minutesAvailable")
@@ -226,7 +226,7 @@ SELECT "sessionID", r::INT AS revision, "parsed_userID" AS "userID",
   round("parsed_milesRequested" + ("revisionCount" - r - 1), 6) AS "milesRequested"
 FROM base, (SELECT unnest(range(5)) AS r) WHERE event_id % 67 <> 0 AND r < "revisionCount\"""", BASE))
 def explode_inputs(spark, sf):
-    df = adapters.user_inputs(adapters.base_sessions(table(spark, sf, "events")))
+    df = adapters.user_inputs(adapters.plain_sessions(spark, sf))
     return explode_user_inputs(df).select("sessionID", "revision", "userID",
                                           F.round("milesRequested", 6).alias("milesRequested"))
 

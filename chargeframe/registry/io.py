@@ -49,7 +49,7 @@ SELECT 'id'||"sessionID" AS "_id", "sessionID", "stationID",
   CASE WHEN event_id % 67 <> 0 THEN "revisionCount" END AS n_inputs FROM base""", BASE))
 def scan_session_pages(spark, sf):
     path = scratch_path(spark, "pages")
-    adapters.session_pages(adapters.base_sessions(table(spark, sf, "events"))).write.json(path)
+    adapters.session_pages(adapters.plain_sessions(spark, sf)).write.json(path)
     items = readers.read_session_pages(spark, path, multiline=False)
     n = F.when(F.col("userInputs").isNotNull(), F.size("userInputs"))
     return items.select("_id", "sessionID", "stationID", "connectionTime",

@@ -44,7 +44,7 @@ SELECT event_id::VARCHAR AS "sessionID" FROM events
 WHERE event_id % 67 <> 0 AND event_id % 61 <> 0 AND event_id % 59 <> 0 AND event_id % 53 <> 0
   AND event_id % 47 <> 0 AND event_id % 43 <> 0 AND event_id % 41 <> 0""")
 def drop_empty_inputs(spark, sf):
-    texts = adapters.input_texts(adapters.base_sessions(table(spark, sf, "events")))
+    texts = adapters.input_texts(adapters.plain_sessions(spark, sf))
     return cleaning.drop_empty_json(texts, "userInputs").select("sessionID")
 
 
@@ -89,7 +89,7 @@ SELECT "sessionID", coalesce("kWhDelivered", 0e0) AS "kWhDelivered",
   coalesce("parsed_minutesAvailable", 0e0) AS "parsed_minutesAvailable", 50e0 AS urgency_score,
   1e0 AS flexibility_index, 1e0 AS grid_impact_proxy, 1e0 AS habit_stability, 0e0 AS station_encoded FROM base""", BASE))
 def fill_defaults(spark, sf):
-    base = adapters.base_sessions(table(spark, sf, "events"))
+    base = adapters.plain_sessions(spark, sf)
     defaults = {"kWhDelivered": 0.0, "parsed_minutesAvailable": 0.0, **cleaning.SERVING_DEFAULTS, "station_encoded": 0.0}
     return cleaning.fill_defaults(base, defaults).select("sessionID", *defaults)
 
@@ -185,7 +185,7 @@ SELECT "sessionID", site, round("parsed_milesRequested", 6) AS "userInput_milesR
   "parsed_minutesAvailable" AS "userInput_minutesAvailable"
 FROM base WHERE event_id % 67 <> 0""", BASE))
 def attach_columns(spark, sf):
-    base = adapters.base_sessions(table(spark, sf, "events"))
+    base = adapters.plain_sessions(spark, sf)
     listed = adapters.user_inputs(base).filter(F.col("userInputs").isNotNull())
     parsed = parse_user_inputs(listed.select("sessionID", F.to_json("userInputs").alias("userInputs"))).select(
         "sessionID", _r("latest.milesRequested").alias("milesRequested"), "latest.minutesAvailable")

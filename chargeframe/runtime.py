@@ -74,6 +74,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan over all cores when its splits occupy a quarter of them or less.
+
+    For scans that feed heavy expressions. Filters and column selections still
+    reach the scan; an input with more splits is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 4 <= cores else scan
+
+
 def durable_spread(df: DataFrame, rows_per_task: int = 1000) -> DataFrame:
     """``durable`` for rows that compute-heavy stages run over again and again.
 
