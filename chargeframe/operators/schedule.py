@@ -118,9 +118,16 @@ def slot_prices(df: DataFrame, params: ScheduleParams = DEFAULT) -> DataFrame:
     return df.withColumn("price", _delay_price(F.col("time_slot"), params))
 
 
-def priced_slots(sessions: DataFrame, params: ScheduleParams = DEFAULT) -> DataFrame:
-    """Targets, slots, caps and prices in one narrow pass."""
-    slots = session_slots(energy_targets(sessions, params), params.horizon_hours, params.step_minutes)
+def priced_slots(sessions: DataFrame, params: ScheduleParams = DEFAULT, cluster: bool = True) -> DataFrame:
+    """Targets, slots, caps and prices of each session.
+
+    ``cluster`` brings the sessions to their partition before they are
+    expanded: filling and auditing by session then need no shuffle of the
+    slots, which are 32 times as many.
+    """
+    targets = energy_targets(sessions, params)
+    targets = targets.repartition("session_id") if cluster else targets
+    slots = session_slots(targets, params.horizon_hours, params.step_minutes)
     return slot_prices(slot_caps(slots, params), params)
 
 

@@ -43,7 +43,7 @@ def energy_targets(spark, sf):
 
 @B.query("slot_caps", with_ctes("SELECT session_id, time_slot, cap_kw FROM caps", SLOTS))
 def slot_caps(spark, sf):
-    return S.priced_slots(_input(spark, sf)).select("session_id", "time_slot", "cap_kw")
+    return S.priced_slots(_input(spark, sf), cluster=False).select("session_id", "time_slot", "cap_kw")
 
 
 SHORT = S.ScheduleParams(horizon_hours=1, trickle_kw=0.0)
@@ -140,6 +140,17 @@ def schedule_audit(spark, sf):
     return _out(S.audit(_filled(spark, sf))).withColumn("kwh_after_departure", F.round("kwh_after_departure", 4))
 
 
+@B.query("peak_aware_one_round", with_ctes("""
+SELECT site, "date"::VARCHAR AS "date", round(max(load), 4) AS peak_kw, round(sum(cost) + max(load), 3) AS objective,
+  round(sum(cost) + sum(load) / 32, 3) AS dual_bound FROM (
+  SELECT site, "date", time_slot, sum(kw) AS load, sum(kw * price) AS cost FROM filled GROUP BY ALL)
+GROUP BY ALL""", FILLED))
+def peak_aware_one_round(spark, sf):
+    """The first round of the price loop, whose peak prices are still equal."""
+    report = S.schedule(_input(spark, sf), rounds=1).report
+    return _out(report.select("site", "date", _r("peak_kw", 4), _r("objective", 3), _r("dual_bound", 3)))
+
+
 @B.query("peak_aware_schedule")
 def peak_aware_schedule(spark, sf):
     """Report per group; the rows behind it are built by the same call."""

@@ -47,8 +47,10 @@ def _text_value(name: str, kind: str) -> Column:
 def to_json_records(df: DataFrame, order: list[str], columns: list[str] = RECORD_COLUMNS,
                     key: str = "sessionID") -> DataFrame:
     """One JSON object per row; a missing id becomes ``session_<position>``."""
-    numbered = global_row_number(df.select(*dict.fromkeys([*columns, *order])), order, "_i")
-    named = numbered.withColumn(key, F.coalesce(F.col(key), F.concat(F.lit("session_"), F.col("_i").cast("string"))))
+    named = df.select(*dict.fromkeys([*columns, *order]))
+    if not df.filter(F.col(key).isNull()).isEmpty():  # positions are needed only then
+        position = F.concat(F.lit("session_"), F.col("_i").cast("string"))
+        named = global_row_number(named, order, "_i").withColumn(key, F.coalesce(F.col(key), position))
     kinds = dict(named.dtypes)
     return named.select(F.to_json(F.struct(*[_text_value(c, kinds[c]).alias(c) for c in columns])).alias("record"))
 
