@@ -154,36 +154,35 @@ def schedule_rows(filled: DataFrame, params: ScheduleParams = DEFAULT) -> DataFr
         F.round(F.coalesce(F.col("urgency_score").cast("double"), F.lit(0.0)), 1).alias("urgency"))
 
 
-def _all_slots(groups: DataFrame, n_slots: int) -> DataFrame:
-    return groups.select(*GROUP).distinct().withColumn(
-        "time_slot", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))))
+def _per_slot(n_slots: int, value: str, condition: str = "time_slot = {t}") -> str:
+    """An array with one conditional sum per slot; empty slots are zero without a join."""
+    sums = (f"coalesce(sum(CASE WHEN {condition.format(t=t)} THEN {value} END), 0D)" for t in range(n_slots))
+    return f"array({', '.join(sums)})"
+
+
+def _by_slot(df: DataFrame, loads: str, name: str) -> DataFrame:
+    return df.groupBy(*GROUP).agg(F.expr(loads).alias("_load")).select(
+        *GROUP, F.posexplode("_load").alias("time_slot", name))
 
 
 def slot_load(schedule: DataFrame, n_slots: int = DEFAULT.chart_slots, power: str = "power_kw",
               name: str = "load_kw") -> DataFrame:
-    """Total kW per group and slot, zero-filled over ``n_slots``.
-
-    The zero rows join the per-slot totals, which are already aggregated.
-    """
-    loads = (schedule.filter(F.col("time_slot") < n_slots).groupBy(*GROUP, "time_slot")
-             .agg(F.sum(power).alias("_kw")))
-    return (_all_slots(loads, n_slots).join(loads, [*GROUP, "time_slot"], "left")
-            .select(*GROUP, "time_slot", F.coalesce("_kw", F.lit(0.0)).alias(name)))
+    """Total kW per group and slot, zero-filled over ``n_slots``."""
+    loads = schedule.groupBy(*GROUP, "time_slot").agg(F.sum(power).alias("_kw"))
+    return _by_slot(loads, _per_slot(n_slots, "_kw"), name)
 
 
 def naive_profile(sessions: DataFrame, params: ScheduleParams = DEFAULT) -> DataFrame:
     """Load when every session charges at full power from slot 0 on.
 
-    Sessions are counted by the slots they need before those are expanded, so
-    the expansion does not grow with the sessions.
+    Sessions are counted, not expanded: a slot's load is the number of
+    sessions that need more slots than come before it, times the power.
     """
     per_slot = params.charger_kw * params.hours
     need = F.least(F.ceil(F.col("remaining_kWh") / F.lit(per_slot)) + F.lit(params.naive_extra_slots),
                    F.lit(params.chart_slots)).cast("int")
     counts = sessions.groupBy(*GROUP, need.alias("_need")).agg(F.count("*").alias("_n"))
-    used = counts.select(*GROUP, (F.col("_n") * F.lit(params.charger_kw)).alias("_kw"),
-                         F.explode(F.sequence(F.lit(0), F.col("_need") - 1)).alias("time_slot"))
-    return slot_load(used, params.chart_slots, "_kw", "naive_kw")
+    return _by_slot(counts, _per_slot(params.chart_slots, f"_n * {params.charger_kw}D", "_need > {t}"), "naive_kw")
 
 
 def peak_reduction(loads: DataFrame, naive: str = "naive_kw", opt: str = "optimized_kw") -> DataFrame:
@@ -214,22 +213,28 @@ def gantt_rows(schedule: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def audit(filled: DataFrame, params: ScheduleParams = DEFAULT, tolerance: float = 1e-6) -> DataFrame:
-    """Violations per group, and the energy placed after departure."""
+    """Violations per group, and the energy placed after departure.
+
+    One pass: slots are first combined per session, which keeps the session's
+    power per slot, and sessions then per group.
+    """
+    n = range(params.slots)
     per_session = filled.groupBy(*GROUP, "session_id").agg(
         F.sum("kwh").alias("kwh"), F.max("target_kWh").alias("target"),
         F.sum(F.col("cap_kw") * F.lit(params.hours)).alias("capacity"),
         F.count_if(F.col("kw") > params.charger_kw + tolerance).alias("charger"),
         F.count_if(F.col("kw") > F.col("cap_kw") + tolerance).alias("late"),
-        F.sum(F.when(F.col("time_slot") >= F.col("max_slots"), F.col("kwh")).otherwise(0.0)).alias("after"))
+        F.sum(F.when(F.col("time_slot") >= F.col("max_slots"), F.col("kwh")).otherwise(0.0)).alias("after"),
+        F.expr(_per_slot(params.slots, "kw")).alias("power"))
     short = F.col("kwh") < F.col("target") - tolerance
-    sessions = per_session.groupBy(*GROUP).agg(
+    groups = per_session.groupBy(*GROUP).agg(
         F.count_if(short & (F.col("target") <= F.col("capacity"))).alias("target_violations"),
         F.count_if(F.col("target") > F.col("capacity")).alias("infeasible_sessions"),
         F.sum("charger").alias("charger_violations"), F.sum("late").alias("late_violations"),
-        F.sum("after").alias("kwh_after_departure"))
-    grid = filled.groupBy(*GROUP, "time_slot").agg(F.sum("kw").alias("load")).groupBy(*GROUP).agg(
-        F.count_if(F.col("load") > params.grid_kw + tolerance).alias("grid_violations"))
-    return sessions.join(grid, GROUP)
+        F.sum("after").alias("kwh_after_departure"),
+        F.expr(f"array({', '.join(f'sum(power[{t}])' for t in n)})").alias("load"))
+    over = F.size(F.filter("load", lambda kw: kw > params.grid_kw + tolerance)).cast("long")
+    return groups.withColumn("grid_violations", over).drop("load")
 
 
 # --- price loop ---------------------------------------------------------------
