@@ -9,7 +9,7 @@ from chargeframe.operators.ordering import global_row_number
 from chargeframe.schemas import RUN_LOG
 from chargeframe.sources.readers import NTZ_PATTERN, TEXT_OPTIONS
 
-#: Columns of the exported session records.
+# Columns of the exported session records.
 RECORD_COLUMNS = [
     "sessionID", "parsed_kWhRequested", "parsed_minutesAvailable", "connectionTime", "disconnectTime",
     "charging_efficiency", "requested_gap", "urgency_score",
