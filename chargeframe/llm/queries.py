@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chargeframe.llm import bpe, exactdedup, packing
+from chargeframe.llm import bpe, exactdedup, neardup, packing
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -14,6 +14,11 @@ def best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op3_minhash_neardup")
+def minhash_neardup(spark, sf_dir):
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op5_bpe_tree")
 def bpe_tree(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
