@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chargeframe.llm import bpe, exactdedup, neardup, packing
+from chargeframe.llm import bpe, exactdedup, fertility, neardup, packing
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -24,6 +24,11 @@ def bpe_tree(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+@query("op7_tokeniser_fertility")
+def tokeniser_fertility(spark, sf_dir):
+    return fertility.rate(table(spark, sf_dir, "documents"))
+
+
 @query("op10_grace_dedup", """
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
     SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
