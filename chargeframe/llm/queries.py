@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from chargeframe.llm import bpe, exactdedup, fertility, neardup, packing
+from chargeframe.llm import bpe, exactdedup, fertility, neardup, packing, secrets
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
 query = BOOK.query
 
 
+@query("op1_markov_secrets")
+def markov_secrets(spark, sf_dir):
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 @query("op2_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
