@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chargeframe.llm import bpe, exactdedup, fertility, neardup, packing, secrets
+from pyspark.sql import functions as F
+
+from chargeframe.llm import bpe, chat, exactdedup, fertility, neardup, packing, secrets
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -34,6 +36,32 @@ def tokeniser_fertility(spark, sf_dir):
     return fertility.rate(table(spark, sf_dir, "documents"))
 
 
+@query("op9_schema_chat", """
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+    sized AS (
+        SELECT *, 14 + length(regexp_replace(role, '[\\\\<#:]', 'xx', 'g'))
+            + length(regexp_replace(text, '[\\\\<#]', 'xx', 'g')) AS chars FROM rows),
+    whole AS (
+        SELECT conv_id, count(*) AS n_turns, sum(chars)::BIGINT AS formatted_chars,
+            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt
+        FROM sized GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+           formatted_chars FROM whole
+""")
+def schema_chat(spark, sf_dir):
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    payload = F.to_variant_object(F.struct("role", "text", "turn"))
+    return chat.digests(chat.format_turns(chat.canonical(rows.select("conv_id", "turn", payload.alias("payload")))))
+
+
 @query("op10_grace_dedup", """
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
     SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
