@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chargeframe.llm import bpe, chat, exactdedup, fertility, neardup, packing, secrets
+from chargeframe.llm import bpe, chat, exactdedup, fertility, neardup, packing, secrets, urlgraph
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -31,6 +31,11 @@ def bpe_tree(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+@query("op6_host_trust")
+def host_trust(spark, sf_dir):
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 @query("op7_tokeniser_fertility")
 def tokeniser_fertility(spark, sf_dir):
     return fertility.rate(table(spark, sf_dir, "documents"))
