@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chargeframe.llm import bpe, chat, exactdedup, fertility, neardup, packing, secrets, urlgraph
+from chargeframe.llm import bpe, chat, exactdedup, fertility, neardup, packing, secrets, toxicity, urlgraph
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -41,6 +41,11 @@ def tokeniser_fertility(spark, sf_dir):
     return fertility.rate(table(spark, sf_dir, "documents"))
 
 
+@query("op8_factorization_toxicity")
+def factorization_toxicity(spark, sf_dir):
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_schema_chat", """
     WITH rows AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
