@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chargeframe.llm import bpe, chat, exactdedup, fertility, neardup, packing, secrets, toxicity, urlgraph
+from chargeframe.llm import bpe, chat, exactdedup, fertility, licences, neardup, packing, secrets, toxicity, urlgraph
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -26,6 +26,11 @@ def minhash_neardup(spark, sf_dir):
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op4_licence_classifier")
+def licence_classifier(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_bpe_tree")
 def bpe_tree(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
