@@ -49,7 +49,7 @@ def sum_of_squares(lengths, capacity: int = CAPACITY) -> tuple[np.ndarray, np.nd
         if rest:
             change = into[:rest] - out_of[s:capacity]
             best = int(change.argmin())
-            if change[best] + 1 <= into[rest]:
+            if change[best] + 2 <= into[rest]:
                 rest, chosen = best, best + s
         if chosen >= 0:
             bins[i], offsets[i] = open_bins[chosen].pop(), capacity - chosen
