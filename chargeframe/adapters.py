@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from chargeframe.functions.energy import behavior_rules
 from chargeframe.functions.hashing import hash_fraction
-from chargeframe.runtime import spread_scan
 from chargeframe.schemas import SESSION
 
 STATIONS, SITES = 53, 5
@@ -64,7 +63,7 @@ def augmented(base: DataFrame) -> DataFrame:
 
 def plain_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of the events table before augmentation."""
-    return base_sessions(spread_scan(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return base_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +145,19 @@ def replies(augmented_sessions: DataFrame) -> DataFrame:
     return augmented_sessions.select("sessionID", content.alias("content"))
 
 
+def retried(answers: DataFrame) -> DataFrame:
+    """Replies with the attempt they came from: some sessions got an unusable first one."""
+    number = F.col("sessionID").cast("long")
+    first = answers.filter(number % 11 == 0).select("sessionID", F.lit("Please try again later.").alias("content"), F.lit(1).alias("attempt"))
+    return answers.withColumn("attempt", F.lit(2)).unionByName(first)
+
+
+def with_nan(df: DataFrame, *cols: str) -> DataFrame:
+    """NaN in place of half of the nulls of the given columns, as other sources write missing numbers."""
+    odd = F.pmod(F.xxhash64("sessionID"), F.lit(2)) == 0
+    return df.withColumns({c: F.when(F.col(c).isNull() & odd, float("nan")).otherwise(F.col(c)) for c in cols})
+
+
 def naive_predictions(df: DataFrame) -> DataFrame:
     """Predictions by a fixed formula, for the evaluation operators."""
     taken = F.least(F.col("parsed_kWhRequested"),

@@ -50,7 +50,7 @@ def add_interactions(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "urgency_flex_interaction": F.col("urgency_score") * F.col("flexibility_index"),
         "revision_urgency": (F.col("revisionCount") * F.col("urgency_score")).cast("double"),
-        "habit_grid": F.col("habit_stability") * F.coalesce(F.col("grid_impact_proxy"), F.lit(1)),
+        "habit_grid": F.col("habit_stability") * F.coalesce(known("grid_impact_proxy"), F.lit(1.0)),
     })
 
 

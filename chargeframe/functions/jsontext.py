@@ -86,13 +86,16 @@ def reply_row(payload="payload") -> Column:
 
 
 def merge_augmented(sessions: DataFrame, replies: DataFrame, key: str = "sessionID",
-                    payload: str = "payload") -> DataFrame:
+                    payload: str = "payload", order: str | None = None) -> DataFrame:
     """Behaviour columns from the replies; the rules when a reply lacks any.
 
+    Of several replies to a session the newest usable one by ``order`` counts
+    (without ``order`` the largest text), so a session stays one row.
     ``used_rules`` tells which source a row took.
     """
-    joined = sessions.drop(*REPLY_FIELDS).join(
-        replies.select(key, reply_row(payload).alias("_reply")), key, "left")
+    read = replies.select(key, reply_row(payload).alias("_reply"), F.col(order or payload).alias("_order"))
+    newest = read.groupBy(key).agg(F.max_by("_reply", F.struct(F.col("_reply").isNotNull(), "_order")).alias("_reply"))
+    joined = sessions.drop(*REPLY_FIELDS).join(newest, key, "left")
 
     present, values = F.col("_reply").isNotNull(), {}
     for field in REPLY_FIELDS:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chargeframe.functions.energy import known
 from chargeframe.operators.ordering import order_statistics, sorted_counts
 
 
@@ -28,8 +29,8 @@ def describe_text(df: DataFrame, col: str) -> DataFrame:
 
 
 def metric_columns(y: str, p: str) -> list[Column]:
-    """MAE, RMSE and R² = 1 − SSE/SST as aggregates of one pass."""
-    err = F.col(y) - F.col(p)
+    """MAE, RMSE and R² = 1 − SSE/SST as aggregates of one pass; rows with a null or NaN do not count."""
+    err = known(y) - known(p)
     sst = F.count(err) * F.var_pop(F.when(err.isNotNull(), F.col(y)))
     return [F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
             (F.lit(1.0) - F.sum(err * err) / F.nullif(sst, F.lit(0.0))).alias("r2")]
@@ -39,16 +40,32 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     return _grouped(df, by).agg(*metric_columns(y, p))
 
 
+def metrics_with_total(df: DataFrame, y: str, p: str, by: str, total: str = "all") -> DataFrame:
+    """The metrics of each group and, under the name ``total``, of all rows, in one pass."""
+    out = df.rollup(by).agg(F.grouping(by).alias("_all"), *metric_columns(y, p))
+    return out.withColumn(by, F.when(F.col("_all") == 1, total).otherwise(F.col(by))).drop("_all")
+
+
 def interval_metrics(df: DataFrame, y: str, lo: str, hi: str, by: list[str] | None = None) -> DataFrame:
     """Share of rows inside the interval, and its mean width."""
-    inside = F.col(y).between(F.col(lo), F.col(hi)).cast("int")
-    return _grouped(df, by).agg(F.avg(inside).alias("coverage"), F.avg(F.col(hi) - F.col(lo)).alias("width"))
+    inside = known(y).between(known(lo), known(hi)).cast("int")
+    return _grouped(df, by).agg(F.avg(inside).alias("coverage"), F.avg(known(hi) - known(lo)).alias("width"))
+
+
+def pinball_column(y: str, q: str, alpha: float) -> Column:
+    """Mean quantile loss at level ``alpha``; rows with a null or NaN do not count."""
+    err = known(y) - known(q)
+    return F.avg(F.greatest(F.lit(alpha) * err, F.lit(alpha - 1.0) * err))
 
 
 def pinball(df: DataFrame, y: str, q: str, alpha: float, by: list[str] | None = None) -> DataFrame:
-    """Mean quantile loss at level ``alpha``."""
-    err = F.col(y) - F.col(q)
-    return _grouped(df, by).agg(F.avg(F.greatest(F.lit(alpha) * err, F.lit(alpha - 1.0) * err)).alias("pinball"))
+    return _grouped(df, by).agg(pinball_column(y, q, alpha).alias("pinball"))
+
+
+def pinball_levels(df: DataFrame, y: str, columns: dict[float, str]) -> DataFrame:
+    """(alpha, pinball) for several levels, in one pass."""
+    rows = [F.struct(F.lit(a).alias("alpha"), pinball_column(y, q, a).alias("pinball")) for a, q in columns.items()]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def absolute_score(y: str = "true_kWh", median: str = "pred_median") -> Column:
@@ -69,7 +86,7 @@ def conformal_radius(df: DataFrame, score: Column, level: float = 0.90, mode: st
     ``approximate``: a mergeable sketch for tables where even one sort of the
     score column is too much.
     """
-    scores = df.select(score.alias("_score")).filter(F.col("_score").isNotNull())
+    scores = df.select(known(score).alias("_score")).filter(F.col("_score").isNotNull())
     if mode == "approximate":
         return scores.agg(F.percentile_approx("_score", level, 100_000).alias("q")).first()["q"]
     counts = sorted_counts(scores, "_score")

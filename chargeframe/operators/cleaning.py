@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chargeframe.functions.energy import known
 from chargeframe.functions.jsontext import is_blank_json
 from chargeframe.functions.timestamps import utc_literal
 
@@ -68,10 +69,10 @@ def on_day(df: DataFrame, ts: str, day: dt.date | str) -> DataFrame:
 
 
 def active_sessions(df: DataFrame, min_kwh: float = MIN_REMAINING_KWH) -> DataFrame:
-    """Sessions that still need energy, with remaining_kWh and minutes_left."""
+    """Sessions that still need energy, with remaining_kWh and minutes_left; NaN counts as missing."""
     return df.withColumns({
-        "remaining_kWh": F.col("parsed_kWhRequested") - F.coalesce(F.col("kWhDelivered"), F.lit(0.0)),
-        "minutes_left": F.coalesce(F.col("parsed_minutesAvailable"), F.lit(float(DEFAULT_MINUTES_LEFT))),
+        "remaining_kWh": known("parsed_kWhRequested") - F.coalesce(known("kWhDelivered"), F.lit(0.0)),
+        "minutes_left": F.coalesce(known("parsed_minutesAvailable"), F.lit(float(DEFAULT_MINUTES_LEFT))),
     }).filter(F.col("remaining_kWh") > min_kwh)
 
 

@@ -63,7 +63,7 @@ def fit_baseline(train: DataFrame, val: DataFrame, label: str = TARGET, features
     """Boosted trees that stop when the validation error no longer falls."""
     both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
     est = _gbt({**BASELINE, **params}, label, features, "prediction", seed)
-    return est.setValidationIndicatorCol("_val").fit(durable_spread(both.select(label, features, "_val")))
+    return est.setValidationIndicatorCol("_val").fit(durable_spread(both.select(label, features, "_val"), label))
 
 
 def training_curve(model, train: DataFrame, val: DataFrame, label: str = TARGET) -> DataFrame:
@@ -117,7 +117,7 @@ def fit_stack(train: DataFrame, key: str, label: str = TARGET, features: str = "
     leafy, meta).
     """
     params = params or {}
-    rows = durable_spread(train.select(key, label, features, hash_fold(seed, folds, key).alias("_fold")))
+    rows = durable_spread(train.select(key, label, features, hash_fold(seed, folds, key).alias("_fold")), key)
 
     def fit_all(df: DataFrame) -> list[Model]:
         return parallel([lambda n=n: _fit_base(df, n, label, features, seed, params) for n in BASES])
@@ -169,7 +169,7 @@ def search(train: DataFrame, val: DataFrame, trials: list[dict], label: str = TA
            seed: int = 42, threads: int = 4, **common) -> DataFrame:
     """Validation MAE of every trial, one row each; see ``best_trial``."""
     spark = train.sparkSession
-    train, val = durable_spread(train.select(label, features)), durable(val.select(label, features))
+    train, val = durable_spread(train.select(label, features), label), durable(val.select(label, features))
 
     def run(p: dict) -> tuple:
         model = fit_boosted(train, "fine", label, features, seed=seed, lossType="absolute", **{**p, **common})

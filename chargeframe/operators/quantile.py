@@ -114,7 +114,7 @@ def fit_quantiles(train: DataFrame, val: DataFrame, alphas: tuple[float, ...] =
     """One model per level over one shared table."""
     cols = [label, features]
     both = train.select(*cols, F.lit(False).alias("_val")).unionByName(val.select(*cols, F.lit(True).alias("_val")))
-    data = durable_spread(both)
+    data = durable_spread(both, label)
     return dict(zip(alphas, parallel([lambda a=a: fit_quantile(data, a, label, features, **params) for a in alphas])))
 
 

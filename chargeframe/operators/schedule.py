@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chargeframe.functions.energy import urgency_band
+from chargeframe.functions.energy import known, urgency_band
 from chargeframe.operators.cleaning import active_sessions
 from chargeframe.operators.joins import HORIZON_HOURS, STEP_MINUTES, for_top_users, session_slots
-from chargeframe.runtime import BROADCAST_BYTES, durable, durable_spread, small_side
+from chargeframe.runtime import BROADCAST_BYTES, durable, small_side
 
 GROUP = ["site", "date"]
 
@@ -102,8 +102,14 @@ def _capacity(params: ScheduleParams) -> Column:
     return (full * F.lit(params.charger_kw) + (F.lit(params.slots) - full) * low) * F.lit(params.hours)
 
 
+def _cap_sum(params: ScheduleParams) -> Column:
+    """``_capacity`` of rows that carry start_slot and low_kw."""
+    full = F.greatest(F.lit(0), F.least("start_slot", F.lit(params.slots)))
+    return (full * F.lit(params.charger_kw) + (F.lit(params.slots) - full) * F.col("low_kw")) * F.lit(params.hours)
+
+
 def _delay_price(slot: Column, params: ScheduleParams) -> Column:
-    weight = F.coalesce(F.col("urgency_flex_interaction"), F.lit(1.0))
+    weight = F.coalesce(known("urgency_flex_interaction"), F.lit(1.0))
     steps = F.lit(params.slots) - slot if params.direction == "late" else slot + F.lit(1)
     return F.lit(params.usage_cost) + F.lit(params.delay_cost) * weight * steps
 
@@ -268,7 +274,7 @@ def _fill_arrays(params: ScheduleParams):
             total += filled
         return pd.Series(list(total / (extra.shape[1] * hours)))
 
-    return lambda prices: fill(prices, "target_kWh", "weight", "start_slot", "low_kw")
+    return lambda prices: fill(prices, "served_kWh", "weight", "start_slot", "low_kw")
 
 
 def _group_loads(powers: DataFrame, params: ScheduleParams, kw: str = "power") -> DataFrame:
@@ -302,32 +308,102 @@ class Schedule:
     report: DataFrame
 
 
+#: Width in kWh of the classes that the fill within the grid limit works on.
+NEED_STEP = 0.05
+
+
+def _laxity_fill(classes: pd.DataFrame, params: ScheduleParams) -> tuple[np.ndarray, str]:
+    """kWh per slot for one session of each class, within the grid limit, and the group's state.
+
+    Slot by slot, cheap slots first, what no later turn can give is given; the rest of the limit goes
+    to the classes with the least slack first. ``classes`` has n, need, start_slot, low_kw, and asked, the
+    mean of the true needs, which are at most ``need``.
+    """
+    T, budget = params.slots, params.grid_kw * params.hours
+    n, need = classes["n"].to_numpy(float), classes["need"].to_numpy(float)
+    room = np.where(np.arange(T) >= classes["start_slot"].to_numpy()[:, None], classes["low_kw"].to_numpy()[:, None],
+                    params.charger_kw) * params.hours
+    # energy that the first or the last slots must give, against all that the limit allows in them
+    impossible = False
+    for side in (room, room[:, ::-1]):
+        rest = side.sum(axis=1, keepdims=True) - np.cumsum(side, axis=1)
+        due = (n[:, None] * np.maximum(0.0, classes["asked"].to_numpy(float)[:, None] - rest)).sum(axis=0)
+        impossible |= bool((due > budget * np.arange(1, T + 1) + 1e-6).any())
+    turns = np.arange(T)[::-1] if params.direction == "late" else np.arange(T)
+    room = room[:, turns]
+    later = room.sum(axis=1, keepdims=True) - np.cumsum(room, axis=1)
+    given, left, met = np.zeros_like(room), need.copy(), True
+    for t in range(T):
+        must = np.clip(left - later[:, t], 0.0, room[:, t])
+        free = budget - (n * must).sum()
+        met &= free >= -1e-9
+        more = np.minimum(room[:, t], left) - must
+        order = np.argsort(later[:, t] + room[:, t] - left, kind="stable")
+        wanted = (n * more)[order]
+        before = np.cumsum(wanted) - wanted
+        share = np.zeros(len(n))
+        share[order] = np.clip((max(free, 0.0) - before) / np.where(wanted > 0, wanted, 1.0), 0.0, 1.0)
+        given[:, t] = must + share * more
+        left -= given[:, t]
+    given = given[:, np.argsort(turns)]
+    return given, "infeasible" if impossible else "feasible" if met and (left < 1e-9).all() else "not converged"
+
+
+def within_grid(base: DataFrame, params: ScheduleParams) -> DataFrame:
+    """A plan within the grid limit: base with ``plan`` (kW per slot) and ``status`` of its group.
+
+    Sessions with the same limits and the same need, rounded up to NEED_STEP, are one class. A group
+    has a bounded number of classes, however many sessions it has, so it is filled in one task.
+    """
+    capacity = _cap_sum(params)
+    classed = base.withColumn("need", F.least(F.ceil(F.col("served_kWh") / NEED_STEP) * NEED_STEP, capacity))
+    keys = [*GROUP, "start_slot", "low_kw", "need"]
+    counts = classed.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("served_kWh").alias("asked"))
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        given, status = _laxity_fill(rows, params)
+        return rows[keys].assign(class_plan=list(given / params.hours), status=status)
+
+    kinds = dict(base.select(*GROUP).dtypes)
+    ddl = ", ".join([*(f"{g} {kinds[g]}" for g in GROUP), "start_slot int, low_kw double, need double, class_plan array<double>, status string"])
+    plans = durable(counts.groupBy(*GROUP).applyInPandas(fill, ddl))
+    scale = F.when(F.col("need") > 0, F.col("served_kWh") / F.col("need")).otherwise(0.0)
+    return classed.join(small_side(plans), keys).withColumn(
+        "plan", F.transform("class_plan", lambda kw: kw * scale)).drop("class_plan", "need")
+
+
 def schedule(sessions: DataFrame, params: ScheduleParams = DEFAULT, rounds: int = 12,
-             peak_step: float | None = None, grid_step: float = 4.0) -> Schedule:
-    """Peak-aware schedule by price updates, averaged over the rounds.
+             peak_step: float | None = None, grid_step: float = 0.15) -> Schedule:
+    """Peak-aware schedule by price updates, kept within the grid limit.
 
     Every round prices the slots, lets each session fill its cheapest ones and
     raises the price of loaded slots: the peak prices by multiplicative
     weights, which keeps their sum at 1, and the grid prices by a projected
-    subgradient step. The loop keeps only the prices, 2 × 32 numbers per group
-    and round; the averaged powers are computed from them at the end, in one
-    pass. Limits per session hold exactly; the grid limit holds in the limit,
-    and the report states the violation and the gap to the best dual bound.
-    Targets beyond what the slots can give are cut to that.
+    subgradient step of the size of the delay costs. The loop keeps only the prices,
+    2 × 32 numbers per group and round; the powers, averaged over the later half of the rounds, are
+    computed from them at the end, in one pass. Where the average still exceeds the grid limit it is
+    mixed with a plan that keeps it, as much as it takes: limits per session and targets
+    are convex, so the mixture keeps them too.
+
+    ``status`` of a group: ``feasible`` (targets and limits hold; ``gap`` to the best dual bound
+    is given), ``infeasible`` (no plan can meet the targets within the grid limit) or ``not
+    converged`` (none was found). Targets beyond what the slots of a session can give are
+    served up to that; the rows keep the target itself, so that an audit sees it.
     """
     T = params.slots
     step = peak_step if peak_step is not None else math.sqrt(2 * math.log(T) / rounds)
     fill = _fill_arrays(params)
     start, low = _cap_break(params)
-    base = durable_spread(energy_targets(sessions, params).withColumns({
-        "target_kWh": F.least(F.col("target_kWh"), _capacity(params)),
-        "weight": F.coalesce(F.col("urgency_flex_interaction").cast("double"), F.lit(1.0)),
-        "start_slot": start, "low_kw": low,
+    base = durable(energy_targets(sessions, params).withColumns({
+        "served_kWh": F.greatest(F.least(F.col("target_kWh"), _capacity(params)), F.lit(0.0)),
+        "weight": F.coalesce(known("urgency_flex_interaction"), F.lit(1.0)),
+        "start_slot": start.cast("int"), "low_kw": low.cast("double"),
     }).select(*GROUP, "session_id", "parsed_userID", "urgency_score", "flexibility_index", "max_slots",
-              "target_kWh", "weight", "start_slot", "low_kw"))
-    state = durable(base.select(*GROUP).distinct().withColumns({
-        "lam": F.array_repeat(F.lit(1.0 / T), T), "mu": F.array_repeat(F.lit(0.0), T),
-        "history": F.array().cast("array<double>"), "bound": F.lit(float("-inf"))}))
+              "target_kWh", "served_kWh", "weight", "start_slot", "low_kw"))
+    state = durable(base.groupBy(*GROUP).agg(
+        (F.lit(params.delay_cost * T) * F.avg(F.abs("weight")) + F.lit(params.usage_cost)).alias("scale")).withColumns({
+            "lam": F.array_repeat(F.lit(1.0 / T), T), "mu": F.array_repeat(F.lit(0.0), T),
+            "history": F.array().cast("array<double>"), "bound": F.lit(float("-inf"))}))
     # the table of prices has as many rows in every round: one check of its size will do
     side = F.broadcast if state.count() * (T + 8) * 8 <= BROADCAST_BYTES else (lambda df: df)
 
@@ -337,26 +413,34 @@ def schedule(sessions: DataFrame, params: ScheduleParams = DEFAULT, rounds: int
         joined = state.join(_group_loads(powers, params), GROUP)
         dual = F.col("cost") + _dot("lam", "load") + _dot("mu", "load") - F.lit(params.grid_kw) * _total(F.col("mu"))
         top = F.greatest(F.array_max("load"), F.lit(1e-9))
-        rate = grid_step / math.sqrt(r + 1.0)
+        rate = F.lit(grid_step / math.sqrt(r + 1.0)) * F.col("scale")
+        kept = F.concat("history", F.zip_with("lam", "mu", lambda x, y: x + y)) if r >= rounds // 2 else F.col("history")
         updated = joined.select(
-            *GROUP,
-            F.concat("history", F.zip_with("lam", "mu", lambda x, y: x + y)).alias("history"),
-            F.greatest("bound", dual).alias("bound"),
+            *GROUP, "scale", kept.alias("history"), F.greatest("bound", dual).alias("bound"),
             F.zip_with("lam", "load", lambda x, y: x * F.exp(F.lit(step) * y / top)).alias("grown"),
             F.zip_with("mu", "load", lambda x, y: F.greatest(
-                F.lit(0.0), x + F.lit(rate) * (y / F.lit(params.grid_kw) - F.lit(1.0)))).alias("mu"),
+                F.lit(0.0), x + rate * (y / F.lit(params.grid_kw) - F.lit(1.0)))).alias("mu"),
         ).withColumn("sum", _total(F.col("grown")))
         state = durable(updated.select(
-            *GROUP, "history", "bound", "mu", F.transform("grown", lambda x: x / F.col("sum")).alias("lam")))
-
-    used = base.join(small_side(state.select(*GROUP, "history")), GROUP)
-    powers = durable(used.withColumn("power", fill("history")).drop("history"))
+            *GROUP, "scale", "history", "bound", "mu", F.transform("grown", lambda x: x / F.col("sum")).alias("lam")))
+
+    used = within_grid(base, params).join(small_side(state.select(*GROUP, "history")), GROUP)
+    both = durable(used.withColumn("power", fill("history")).drop("history"))
+    loads = _group_loads(both, params).join(_group_loads(both, params, "plan").select(*GROUP, F.col("load").alias("safe")), GROUP)
+    # the largest share of the averaged powers that keeps every slot within the limit
+    limits = F.zip_with("load", "safe", lambda x, y: F.when(x > params.grid_kw, F.greatest(
+        F.lit(0.0), F.try_divide(F.lit(params.grid_kw) - y, x - y))).otherwise(1.0))
+    mix = loads.select(*GROUP, F.array_min(limits).alias("mix"))
+    share = F.when(F.col("status") == "feasible", F.col("mix")).otherwise(1.0)
+    powers = durable(both.join(small_side(mix), GROUP).withColumn(
+        "power", F.zip_with("power", "plan", lambda x, y: share * x + (F.lit(1.0) - share) * y)).drop("plan", "mix"))
     rows = powers.select("*", F.posexplode("power").alias("time_slot", "kw")).drop("power", "weight")
     rows = rows.withColumns({"kwh": F.col("kw") * F.lit(params.hours), "cap_kw": F.when(
         F.col("time_slot") >= F.col("start_slot"), F.col("low_kw")).otherwise(F.lit(params.charger_kw))})
     objective = F.col("cost") + F.array_max("load")
-    report = _group_loads(powers, params).join(state.select(*GROUP, "bound"), GROUP).select(
-        *GROUP, F.array_max("load").alias("peak_kw"), objective.alias("objective"),
-        F.col("bound").alias("dual_bound"), (objective - F.col("bound")).alias("gap"),
+    status = powers.groupBy(*GROUP).agg(F.first("status").alias("status"))
+    report = _group_loads(powers, params).join(state.select(*GROUP, "bound"), GROUP).join(status, GROUP).select(
+        *GROUP, "status", F.array_max("load").alias("peak_kw"), objective.alias("objective"),
+        F.col("bound").alias("dual_bound"), F.when(F.col("status") == "feasible", objective - F.col("bound")).alias("gap"),
         F.greatest(F.array_max("load") - F.lit(params.grid_kw), F.lit(0.0)).alias("grid_violation_kw"))
     return Schedule(rows, report)

@@ -162,8 +162,8 @@ FROM (
   USING ("sessionID"))""", REPLIES))
 def merge_augmented(spark, sf):
     df = adapters.sessions(spark, sf)
-    replies = jsontext.extract_json_reply(adapters.replies(df))
-    merged = jsontext.merge_augmented(df, replies).select(
+    replies = jsontext.extract_json_reply(adapters.retried(adapters.replies(df)))
+    merged = jsontext.merge_augmented(df, replies, order="attempt").select(
         "sessionID", "used_rules", "urgency_score", "flexibility_index", "habit_stability", "grid_impact_proxy")
     return _rounded(merged, ["flexibility_index", "habit_stability"], 9)
 

@@ -44,7 +44,7 @@ def _table(spark, sf):
 def _parts(spark, sf):
     """Train, validation and test rows with their feature vectors."""
     rows = learners.assemble(_table(spark, sf), feature_set("honest")).select("sessionID", "split", TARGET, "features")
-    return P.split_parts(durable_spread(rows))
+    return P.split_parts(durable_spread(rows, "sessionID"))
 
 
 def _r(c, n=6):

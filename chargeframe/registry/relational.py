@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from chargeframe import adapters
 from chargeframe.functions.energy import add_energy
-from chargeframe.functions.hashing import hash_fold
 from chargeframe.functions.jsontext import parse_user_inputs
 from chargeframe.operators import aggregates, cleaning, encoding, joins, ordering
 from chargeframe.registry.book import Book, table
@@ -22,6 +21,11 @@ SESSION_COLUMNS = ["kWhDelivered", "parsed_milesRequested", "parsed_WhPerMile",
                    "parsed_kWhRequested", "revisionCount", "connectionTime", "disconnectTime", "parsed_userID"]
 
 
+def _gappy_predictions(spark, sf):
+    """Predictions of all sessions with a delivered amount, and of some where it is NaN, which must not count."""
+    return adapters.naive_predictions(adapters.with_nan(adapters.sessions(spark, sf), "kWhDelivered"))
+
+
 def _r(c, n=6):
     return F.round(c, n)
 
@@ -80,7 +84,7 @@ def select_day(spark, sf):
 @B.query("active_sessions", with_ctes("""
 SELECT "sessionID", round("remaining_kWh", 6) AS "remaining_kWh", minutes_left FROM active""", ACTIVE))
 def active_sessions(spark, sf):
-    return cleaning.active_sessions(adapters.sessions(spark, sf)).select(
+    return cleaning.active_sessions(adapters.with_nan(adapters.sessions(spark, sf), "kWhDelivered", "parsed_minutesAvailable")).select(
         "sessionID", _r("remaining_kWh").alias("remaining_kWh"), "minutes_left")
 
 
@@ -254,10 +258,8 @@ _METRICS = """
 @B.query("regression_metrics", with_ctes(f"""
 SELECT 'all' AS site, {_METRICS} FROM pred UNION ALL SELECT site, {_METRICS} FROM pred GROUP BY site""", PREDICTIONS))
 def regression_metrics(spark, sf):
-    pred = adapters.naive_predictions(adapters.sessions(spark, sf))
-    total = aggregates.regression_metrics(pred, "true_kWh", "pred_median").withColumn("site", F.lit("all"))
-    per = aggregates.regression_metrics(pred, "true_kWh", "pred_median", ["site"])
-    return union_all(total, per).select("site", _r("mae").alias("mae"), _r("rmse").alias("rmse"), _r("r2").alias("r2"))
+    out = aggregates.metrics_with_total(_gappy_predictions(spark, sf), "true_kWh", "pred_median", "site")
+    return out.select("site", _r("mae").alias("mae"), _r("rmse").alias("rmse"), _r("r2").alias("r2"))
 
 
 @B.query("interval_metrics", with_ctes("""
@@ -279,7 +281,7 @@ SELECT 'cqr', round(s, 6) FROM (
   SELECT {_CQR} AS s, row_number() OVER (ORDER BY {_CQR}) AS rn, count(*) OVER () AS n FROM pred)
 WHERE rn = ((n + 1) * 9 + 9) // 10""", PREDICTIONS))
 def conformal_quantile(spark, sf):
-    pred = materialize(adapters.naive_predictions(adapters.sessions(spark, sf)), "predictions")
+    pred = materialize(_gappy_predictions(spark, sf), "predictions")
     ref = aggregates.conformal_radius(pred, aggregates.absolute_score(), 0.90, "reference")
     cqr = aggregates.conformal_radius(pred, aggregates.cqr_score(), 0.90, "cqr")
     return spark.sql("SELECT inline(array(named_struct('mode', 'reference', 'q_hat', round(:ref, 6)),"
@@ -323,10 +325,8 @@ def standardize(spark, sf):
     f"SELECT {a}e0 AS alpha, round(avg(greatest({a}e0 * (\"true_kWh\" - {q}), ({a}e0 - 1) * (\"true_kWh\" - {q}))), 6)"
     f" AS pinball FROM pred" for a, q in [(0.05, "pred_05"), (0.5, "pred_median"), (0.95, "pred_95")]), PREDICTIONS))
 def pinball_loss(spark, sf):
-    pred = adapters.naive_predictions(adapters.sessions(spark, sf))
-    parts = [aggregates.pinball(pred, "true_kWh", q, a).select(F.lit(a).alias("alpha"), _r("pinball").alias("pinball"))
-             for a, q in [(0.05, "pred_05"), (0.5, "pred_median"), (0.95, "pred_95")]]
-    return union_all(*parts)
+    columns = {0.05: "pred_05", 0.5: "pred_median", 0.95: "pred_95"}
+    return aggregates.pinball_levels(_gappy_predictions(spark, sf), "true_kWh", columns).select("alpha", _r("pinball").alias("pinball"))
 
 
 @B.query("conformal_interval", with_ctes("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -31,24 +30,18 @@ def build_session(app: str = "chargeframe", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Only a local master may fall back to a temporary folder: executors of a
-    cluster cannot read a folder of the driver machine.
+    Both are places that all executors reach; a folder of the driver machine
+    is never taken.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    current = sc.getCheckpointDir()
-    if current is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chargeframe-"))
-        current = sc.getCheckpointDir()
-    return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,40 +67,32 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Rows of a file scan over all cores when its splits occupy a quarter of them or less.
+#: Tasks that a fit runs over its rows in, unless ``spark.chargeframe.fit.partitions`` says
+#: otherwise. It is a setting, not derived from cores or rows: bagging draws per partition, so
+#: the same setting gives the same model everywhere.
+FIT_PARTITIONS = 8
 
-    For scans that feed heavy expressions. Filters and column selections still
-    reach the scan; an input with more splits is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 4 <= cores else scan
-
-
-def durable_spread(df: DataFrame, rows_per_task: int = 1000) -> DataFrame:
-    """``durable`` for rows that compute-heavy stages run over again and again.
 
-    A small input is read as one or two splits and would keep one or two cores
-    busy; its rows are spread over more of them. Larger inputs stay as they are.
-    """
-    kept = durable(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = kept.rdd.getNumPartitions()
-    if parts >= cores:
-        return kept
-    wanted = min(cores, kept.count() // rows_per_task)
-    return durable(kept.repartition(wanted)) if wanted > parts else kept
+def durable_spread(df: DataFrame, *by: str) -> DataFrame:
+    """``durable`` for rows that a fit runs over again and again, dealt by a hash of ``by``."""
+    parts = int(df.sparkSession.conf.get("spark.chargeframe.fit.partitions", str(FIT_PARTITIONS)))
+    return durable(df.repartition(parts, *by).sortWithinPartitions(*by))
 
 
 def _value_bytes(df: DataFrame):
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    flat = 8 * (len(df.schema.fields) - len(text) - len(nested))
-    size = F.lit(flat).cast("long")
-    for name in text:
-        size = size + F.coalesce(F.octet_length(name).cast("long"), F.lit(0).cast("long"))
-    for name in nested:
-        size = size + 8 * F.greatest(F.size(name), F.lit(0)).cast("long")
+    """Bytes of all values: 8 per number, the length of texts and binaries, JSON length of nested ones."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            own = F.octet_length(column)
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            own = 8 * F.greatest(F.size(column), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            own = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            own = F.lit(8)
+        size = size + F.coalesce(own.cast("long"), F.lit(0).cast("long"))
     return F.coalesce(F.sum(size), F.lit(0).cast("long"))
 
 
