@@ -152,6 +152,57 @@ def fill_slots(slots: DataFrame, params: ScheduleParams = DEFAULT, keys: tuple[s
     return slots.withColumn("kwh", energy).withColumn("kw", F.col("kwh") / F.lit(params.hours))
 
 
+def _room_between(first: Column, end: Column, params: ScheduleParams) -> Column:
+    """kWh that the slots from ``first`` up to before ``end`` can give."""
+    start, low = _cap_break(params)
+    count = F.greatest(F.lit(0), end - first)
+    full = F.greatest(F.lit(0), F.least(start, end) - first)
+    return (full * F.lit(params.charger_kw) + (count - full) * low) * F.lit(params.hours)
+
+
+def _cheapest_kwh(slot: Column, params: ScheduleParams) -> Column:
+    """What ``fill_slots`` gives a slot at the plain prices, from columns of ``energy_targets`` alone.
+
+    The price of a slot rises or falls with its number by the sign of the weight, so the slots that
+    come before it are those on one side; equal prices go by number.
+    """
+    weight = F.coalesce(known("urgency_flex_interaction"), F.lit(1.0))
+    falling = weight > 0 if params.direction == "late" else weight < 0
+    prior = F.when(falling, _room_between(slot + 1, F.lit(params.slots), params)).otherwise(_room_between(F.lit(0), slot, params))
+    room = _cap(slot, params) * F.lit(params.hours)
+    return F.least(F.greatest(F.col("target_kWh") - prior, F.lit(0.0)), room)
+
+
+def filled_slots(sessions: DataFrame, params: ScheduleParams = DEFAULT) -> DataFrame:
+    """``fill_slots`` of ``priced_slots`` in one narrow pass: nothing is shuffled or sorted."""
+    slots = session_slots(energy_targets(sessions, params), params.horizon_hours, params.step_minutes)
+    priced = slot_prices(slot_caps(slots, params), params)
+    return priced.withColumn("kwh", _cheapest_kwh(F.col("time_slot"), params)).withColumn("kw", F.col("kwh") / F.lit(params.hours))
+
+
+def load_profiles(sessions: DataFrame, params: ScheduleParams = DEFAULT) -> DataFrame:
+    """``before_after`` of the naive and the cheapest-slot load, from one scan and one aggregate per group."""
+    per_slot = params.charger_kw * params.hours
+    need = F.least(F.ceil(F.col("remaining_kWh") / F.lit(per_slot)) + F.lit(params.naive_extra_slots),
+                   F.lit(params.chart_slots)).cast("int")
+    kw = F.transform(F.sequence(F.lit(0), F.lit(params.slots - 1)), lambda t: _cheapest_kwh(t, params) / F.lit(params.hours))
+    rows = energy_targets(sessions, params).select(*GROUP, need.alias("need"), kw.alias("kw"))
+
+    def total(t: int) -> Column:
+        shown = F.when(F.get("kw", F.lit(t)) > params.min_kw, F.round(F.get("kw", F.lit(t)), 2)).otherwise(0.0)
+        return F.sum(shown) if t < params.slots else F.lit(0.0)
+
+    n = range(params.chart_slots)
+    naive = F.array(*(F.count_if(F.col("need") > t) * F.lit(params.charger_kw) for t in n))
+    groups = rows.groupBy(*GROUP).agg(naive.alias("naive"), F.array(*(total(t) for t in n)).alias("optimized"))
+    peaks = groups.withColumns({"naive_peak": F.array_max("naive"), "optimized_peak": F.array_max("optimized")})
+    ratio = F.lit(1.0) - F.col("optimized_peak") / F.nullif(F.col("naive_peak"), F.lit(0.0))
+    return peaks.select(*GROUP, F.posexplode(F.arrays_zip("naive", "optimized")).alias("time_slot", "kw"), "naive_peak", "optimized_peak",
+                        F.coalesce(F.lit(100.0) * ratio, F.lit(0.0)).alias("reduction_pct")).select(
+        *GROUP, "time_slot", F.col("kw.naive").alias("naive_kw"), F.col("kw.optimized").alias("optimized_kw"),
+        "naive_peak", "optimized_peak", "reduction_pct")
+
+
 def schedule_rows(filled: DataFrame, params: ScheduleParams = DEFAULT) -> DataFrame:
     """Slots with noticeable power, rounded for output."""
     return filled.filter(F.col("kw") > params.min_kw).select(

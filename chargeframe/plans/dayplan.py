@@ -23,7 +23,7 @@ def plan_input(sessions: DataFrame, model: Forecaster | None = None, day: dt.dat
 
 def quick_plan(rows: DataFrame, params: S.ScheduleParams = S.DEFAULT) -> dict[str, DataFrame]:
     """Cheapest slots per session, which is optimal while the grid limit is slack and weights are high."""
-    filled = S.fill_slots(S.priced_slots(rows, params), params)
+    filled = S.filled_slots(rows, params)
     return _tables(rows, filled, params)
 
 

@@ -22,7 +22,7 @@ def _input(spark, sf):
 
 
 def _filled(spark, sf):
-    return S.fill_slots(S.priced_slots(_input(spark, sf)))
+    return S.filled_slots(_input(spark, sf))
 
 
 def _r(c, n=6):
@@ -85,12 +85,6 @@ def naive_profile(spark, sf):
     return _out(S.naive_profile(_input(spark, sf)))
 
 
-def _loads(spark, sf):
-    rows = _input(spark, sf)
-    optimized = S.slot_load(S.schedule_rows(S.fill_slots(S.priced_slots(rows))), name="optimized_kw")
-    return S.naive_profile(rows), optimized
-
-
 _BOTH = """
 loads AS (
   SELECT n.site, n."date", n.time_slot, n.naive_kw, coalesce(o.optimized_kw, 0e0) AS optimized_kw
@@ -101,8 +95,7 @@ loads AS (
 SELECT site, "date"::VARCHAR AS "date", max(naive_kw) AS naive_peak, round(max(optimized_kw), 4) AS optimized_peak,
   round(100 * (1 - max(optimized_kw) / max(naive_kw)), 4) AS reduction_pct FROM loads GROUP BY ALL""", LOADS, _BOTH))
 def peak_reduction(spark, sf):
-    naive, optimized = _loads(spark, sf)
-    return _out(S.peak_reduction(S.before_after(naive, optimized))).withColumns({
+    return _out(S.peak_reduction(S.load_profiles(_input(spark, sf)))).withColumns({
         "optimized_peak": F.round("optimized_peak", 4), "reduction_pct": F.round("reduction_pct", 4)})
 
 
@@ -112,7 +105,7 @@ SELECT site, "date"::VARCHAR AS "date", time_slot, naive_kw, round(optimized_kw,
   round(100 * (1 - max(optimized_kw) OVER w / max(naive_kw) OVER w), 4) AS reduction_pct
 FROM loads WINDOW w AS (PARTITION BY site, "date")""", LOADS, _BOTH))
 def before_after(spark, sf):
-    return _out(S.before_after(*_loads(spark, sf))).withColumns({
+    return _out(S.load_profiles(_input(spark, sf))).withColumns({
         c: F.round(c, 4) for c in ("optimized_kw", "optimized_peak", "reduction_pct")})
 
 

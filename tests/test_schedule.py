@@ -61,6 +61,27 @@ def test_fill_matches_hand_computation(spark):
         assert [got[row[2]][t] for t in range(32)] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("direction", ["late", "early"])
+def test_narrow_fill_equals_the_window(spark, direction):
+    negative = ("S0", dt.date(2024, 1, 1), "negative", 6, 9.0, 0.0, 100.0, 10.0, 0.5, -3.0)
+    df = spark.createDataFrame(_rows() + EDGES + [negative], SCHEMA)
+    p = S.ScheduleParams(direction=direction)
+    want = {(r["session_id"], r["time_slot"]): r["kw"] for r in S.fill_slots(S.priced_slots(df, p), p).collect()}
+    narrow = S.filled_slots(df, p)
+    assert {(r["session_id"], r["time_slot"]): r["kw"] for r in narrow.collect()} == pytest.approx(want)
+    assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_equal_the_separate_loads(spark):
+    df = spark.createDataFrame(_rows() + EDGES, SCHEMA)
+    load = S.slot_load(S.schedule_rows(S.filled_slots(df)), name="optimized_kw")
+    keys = ["site", "time_slot"]
+    want = {tuple(r[k] for k in keys): r.asDict() for r in S.before_after(S.naive_profile(df), load).collect()}
+    got = {tuple(r[k] for k in keys): r.asDict() for r in S.load_profiles(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][c] == pytest.approx(want[k][c]) for k in got for c in want[k])
+
+
 def test_array_fill_equals_window_fill(spark):
     df = spark.createDataFrame(_rows() + EDGES, SCHEMA)
     start, low = S._cap_break(S.DEFAULT)
