@@ -53,20 +53,26 @@ def batch_id(df: DataFrame, order: list[str], size: int, name: str = "batch_id")
             .withColumn(name, F.floor(F.col("_n") / F.lit(size)).cast("long")).drop("_n"))
 
 
-def slice_rows(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
-    """Rows at positions [start, end) of the order."""
-    if end <= TOP_K_ROWS:
+def slice_rows(df: DataFrame, order: list[str], start: int, end: int, top_k_rows: int | None = None) -> DataFrame:
+    """Rows at positions [start, end) of the order, which must be unique.
+
+    Beyond ``top_k_rows`` only the order columns are sorted and numbered; the slice's keys
+    then pick the rows."""
+    if end <= (TOP_K_ROWS if top_k_rows is None else top_k_rows):
         return df.orderBy(*order).offset(start).limit(max(end - start, 0))
-    numbered = global_row_number(df, order, "_n")
-    return numbered.filter((F.col("_n") >= start) & (F.col("_n") < end)).drop("_n")
+    numbered = global_row_number(df.select(*order), order, "_n")
+    keys = [f"_k{i}" for i in range(len(order))]
+    wanted = small_side(numbered.filter((F.col("_n") >= start) & (F.col("_n") < end)).select(*order).toDF(*keys))
+    same = [df[c].eqNullSafe(wanted[k]) for c, k in zip(order, keys)]
+    return df.join(wanted, same, "left_semi")
 
 
 def row_at(df: DataFrame, order: list[str], idx: int) -> DataFrame:
     """The row at position ``idx``; IndexError outside the table."""
-    rows = df.count()
-    if not 0 <= idx < rows:
-        raise IndexError(f"row {idx} of {rows}")
-    return slice_rows(df, order, idx, idx + 1)
+    found = durable(slice_rows(df, order, idx, idx + 1)) if idx >= 0 else None
+    if found is None or found.isEmpty():
+        raise IndexError(f"no row {idx}")
+    return found
 
 
 def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -152,15 +158,17 @@ def stratified_split(df: DataFrame, strata: str, key: str, test: tuple[int, int]
     return attach_small(df, cuts, [strata]).withColumn(name, label).select(*df.columns, name)
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
-    """Exactly min(n, rows) rows, those with the smallest seeded hash."""
-    if n <= TOP_K_ROWS:
+def sample_n(df: DataFrame, key: str, n: int, seed=42, top_k_rows: int | None = None) -> DataFrame:
+    """Exactly min(n, rows) rows, those with the smallest seeded hash; rows that share a key are equally good."""
+    if n <= (TOP_K_ROWS if top_k_rows is None else top_k_rows):
         return df.orderBy(seeded_hash(seed, key), key).limit(n)
     cut = _hash_cuts(df, [], [key], seed, {"take": F.least(F.lit(n), F.col("_n"))}).first()["_cut_take"]
     if cut is None:
         return df.limit(0)
     last = F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut[key]).alias(key))
-    return df.filter(F.struct(seeded_hash(seed, key).alias("_h"), F.col(key)) <= last)
+    place = F.struct(seeded_hash(seed, key).alias("_h"), F.col(key))
+    before = df.filter(place < last)
+    return before.union(df.filter(place == last).limit(max(n - before.count(), 0)))
 
 
 def sorted_counts(df: DataFrame, value: str) -> DataFrame:

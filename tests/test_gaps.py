@@ -49,3 +49,21 @@ def test_scratch_is_in_a_shared_place(spark):
 def test_nested_values_are_measured(spark):
     df = spark.createDataFrame([(["x" * 1000], {"k": "y" * 500}, b"z" * 300)], "a array<string>, m map<string,string>, b binary")
     assert df.agg(runtime._value_bytes(df).alias("n")).first()["n"] >= 1800
+
+
+def test_large_paths_of_slices_and_samples(spark):
+    """Both ways of slicing and sampling give the same rows; repeated keys do not make a sample larger."""
+    from chargeframe.operators import ordering
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    for start, end in ((0, 3), (120, 131), (498, 600), (600, 700)):
+        small = sorted(map(tuple, ordering.slice_rows(df, ["k"], start, end).collect()), key=str)
+        assert sorted(map(tuple, ordering.slice_rows(df, ["k"], start, end, top_k_rows=0).collect()), key=str) == small
+    with pytest.raises(IndexError):
+        ordering.row_at(df, ["k"], 500)
+    assert ordering.row_at(df, ["k"], 499).first()["k"] == 499
+    twice = df.union(df)
+    for n in (1, 7, 100, 999, 2000):
+        assert ordering.sample_n(twice, "k", n, top_k_rows=0).count() == min(n, 1000)
+    same = {r["k"] for r in ordering.sample_n(df, "k", 50).collect()}
+    assert {r["k"] for r in ordering.sample_n(df, "k", 50, top_k_rows=0).collect()} == same
