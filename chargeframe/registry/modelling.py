@@ -96,8 +96,8 @@ def boosted_bases(spark, sf):
     fits = learners.parallel([lambda v=v: learners.fit_boosted(parts["train"], v, prediction=f"p_{v}", **QUICK_STACK[v])
                               for v in learners.BOOSTED])
     scored = PipelineModel(stages=fits).transform(parts["test"])
-    runs = [aggregates.regression_metrics(scored, TARGET, f"p_{v}").withColumn("variant", F.lit(v)) for v in learners.BOOSTED]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+    runs = [F.struct(*aggregates.metric_columns(TARGET, f"p_{v}"), F.lit(v).alias("variant")) for v in learners.BOOSTED]
+    return scored.agg(F.array(*runs).alias("r")).select(F.inline("r"))
 
 
 @B.query("stacked_ensemble")
@@ -109,13 +109,13 @@ def stacked_ensemble(spark, sf):
 
 @B.query("quantile_models")
 def quantile_models(spark, sf):
-    """Share of test rows at or below each level, and the loss."""
+    """Share of test rows at or below each level, in one scoring pass."""
     parts = _parts(spark, sf)
     models = quantile.fit_quantiles(parts["train"], parts["val"], **QUICK_QUANTILE)
     pred = quantile.predict_quantiles(models, parts["test"])
-    rows = [pred.agg(F.lit(a).alias("alpha"), F.avg((F.col(TARGET) <= F.col(quantile.column_name(a))).cast("int")).alias("share"))
-            for a in quantile.ALPHAS]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    shares = [F.struct(F.lit(a).alias("alpha"), F.avg((F.col(TARGET) <= F.col(quantile.column_name(a))).cast("int")).alias("share"))
+              for a in quantile.ALPHAS]
+    return pred.agg(F.array(*shares).alias("r")).select(F.inline("r"))
 
 
 @B.query("probabilistic_forecast")
