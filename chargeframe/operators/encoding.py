@@ -12,13 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargeframe.functions.hashing import hash_fold
-from chargeframe.runtime import small_side
+from chargeframe.runtime import durable, small_side
 
 
 def target_stats(df: DataFrame, col: str, y: str) -> DataFrame:
-    """Per value n, mean and population variance, with the global mean and variance."""
-    per = df.groupBy(col).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var"))
-    return per.withColumns({"global_mean": df.agg(F.avg(y)).scalar(), "global_var": df.agg(F.var_pop(y)).scalar()})
+    """Per value n, mean and population variance, with the global mean and variance.
+
+    The rows are read once; the global moments are merged from those of the values."""
+    per = durable(df.groupBy(col).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var")))
+    mean = per.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).cast("double")).first()[0]
+    off = F.col("mean") - F.lit(mean).cast("double")
+    var = per.agg(F.try_divide(F.sum(F.col("n") * (F.col("var") + off * off)), F.sum("n")).cast("double")).first()[0]
+    return per.withColumns({"global_mean": F.lit(mean).cast("double"), "global_var": F.lit(var).cast("double")})
 
 
 def _merged(parts: Column, keep) -> Column:
