@@ -5,13 +5,15 @@ pair of one key from either collection, so ``2 * rows * tables`` minhashes serve
 ``tables ** 2`` tables of ``2 * rows`` minhashes. At similarity 0.8 the defaults miss a link
 with a chance of 2 * (1 - 0.8 ** 4) ** 24 = 6e-6.
 
-Table keys are formed only where they matter. Equal sets become one. Documents that share
-a key of the first collection are compared with the smallest among them, which links nearly
-all of a group at linear cost. Only buckets that then still hold several components
-get table keys, and only pairs from different components are compared there, in blocks, by
-their sketches (a byte per minhash) and then on their full sets. First each member meets
-its most similar partner of every other component, then all remaining pairs; no bucket
-is capped. Full sets are made again from the text, for documents in shared buckets alone.
+Equal sets become one. Documents that share a key of the first collection are compared with
+the smallest among them, which links nearly all of a group at linear cost. Only buckets
+that then still hold several components go on, and only pairs from different components are
+compared there: two documents share a table if they share a key of both collections, which is
+looked up for small buckets and is made the bucket of large ones. A pair is looked at in
+the first bucket that it shares. Sketches (a byte per minhash) and then an upper bound of the
+intersection from 16-bit fingerprints of all shingles sort out what cannot be linked;
+the rest is confirmed on full sets. Large buckets are dealt in blocks; none is capped.
+Full sets are made again from the text, for documents in shared buckets alone.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ ROWS, TABLES = 4, 24
 #: Share of equal sketch bytes below which a pair is not compared in full: 4.8 standard
 #: deviations of the estimate below similarity 0.8.
 SKETCH_SHARE = 0.66
-#: Members of a bucket that meet in one block.
-BLOCK = 512
+#: Members of a bucket that meet in one block, and members from which on a bucket is split by
+#: the keys of the second collection.
+BLOCK, SPLIT = 2048, 8192
 #: Digests that a scan task remembers to spot equal sets early.
 REMEMBERED = 200_000
 
@@ -87,17 +90,23 @@ def _scan(size: int, rows: int, tables: int):
     return run
 
 
+def fingerprints(shingles: np.ndarray) -> np.ndarray:
+    """The distinct upper 16 bits of sorted shingles."""
+    return np.unique((shingles >> np.uint64(48)).astype(np.uint16))
+
+
 def _sets(size: int):
-    """Sets of the wanted rows, checked by their digest."""
+    """Sets of the wanted rows, checked by their digest, and their fingerprints."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [(rid, s.tobytes()) for rid, want, s in zip(
+                found = [(rid, s.tobytes(), fingerprints(s).tobytes()) for rid, want, s in zip(
                     part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(_bytes(part.column(2)), size))
                     if _digest(s) == want]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()),
-                                                  pa.array([s for _, s in found], pa.binary())], ["rid", "shingles"])
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                columns = list(zip(*found)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["rid", "shingles", "prints"])
     return run
 
 
@@ -126,32 +135,60 @@ def _linked(percent: int):
     return run
 
 
-def _blocks(share: float, best: bool):
-    """Pairs of different labels within each (bucket, block pair) of rows sorted by these."""
-    def pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rid, label, block = (group[c].to_numpy() for c in ("rid", "label", "block"))
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        ones, others = [], []
-        across = group["first"].iloc[0] != group["second"].iloc[0]
-        for i in range(len(group)):
-            meets = label != label[i]
-            if across:
-                meets &= block != block[i]
-            at = np.flatnonzero(meets)
-            if not len(at):
-                continue
-            alike = (sketches[at] == sketches[i]).mean(axis=1)
-            at, alike = at[alike >= share], alike[alike >= share]
-            if best and len(at):
-                order = np.lexsort((-alike, label[at]))
-                at = at[order][np.unique(label[at][order], return_index=True)[1]]
-            elif not best:
-                at = at[rid[at] > rid[i]]
-            ones.append(np.full(len(at), rid[i]))
-            others.append(rid[at])
+class _Block:
+    """The members of one bucket, or of two blocks of it, as arrays."""
+
+    def __init__(self, group: pd.DataFrame) -> None:
+        self.rid, self.label, self.block, self.size = (group[c].to_numpy() for c in ("rid", "label", "block", "n_shingles"))
+        self.u, self.v = (np.stack(group[c].to_numpy()) for c in "uv")
+        self.sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        self.key_u, self.key_v = group["bucket_u"].iloc[0], group["bucket_v"].iloc[0]
+        self.across = group["first"].iloc[0] != group["second"].iloc[0]
+        self.prints = [np.frombuffer(p, np.uint16) for p in group["prints"]]
+        self.bits: dict[int, np.ndarray] = {}
+
+    def bitmap(self, i: int) -> np.ndarray:
+        if i not in self.bits:
+            flags = np.zeros(1 << 16, bool)
+            flags[self.prints[i]] = True
+            self.bits[i] = np.packbits(flags).view(np.uint64)
+        return self.bits[i]
+
+    def bound(self, i: int, j: int) -> int:
+        """At least the size of the intersection: fingerprints in common, and those that a set has more than once."""
+        common = int(np.bitwise_count(self.bitmap(i) & self.bitmap(j)).sum())
+        return common + min(self.size[i] - len(self.prints[i]), self.size[j] - len(self.prints[j]))
+
+    def partners(self, i: int, percent: int, share: float) -> np.ndarray:
+        """Members of other components that may be linked with member i and belong to this bucket first."""
+        meets = (self.label != self.label[i]) & (self.rid > self.rid[i])
+        if self.across:
+            meets &= self.block != self.block[i]
+        at = np.flatnonzero(meets)
+        small, large = np.minimum(self.size[at], self.size[i]), np.maximum(self.size[at], self.size[i])
+        at = at[100 * small >= percent * large]
+        at = at[(self.sketch[at] == self.sketch[i]).mean(axis=1) >= share] if len(at) else at
+        if not len(at):
+            return at
+        same = self.u[at] == self.u[i]
+        at = at[self.u[i][same.argmax(axis=1)] == self.key_u]
+        same = self.v[at] == self.v[i]
+        fits = same.any(axis=1)
+        if self.key_v:
+            fits &= self.v[i][same.argmax(axis=1)] == self.key_v
+        return np.array([j for j in at[fits] if (100 + percent) * self.bound(i, j) >= percent * (self.size[i] + self.size[j])], np.int64)
+
+
+def _blocks(percent: int, share: float):
+    """Pairs that may be linked within each (bucket, block pair) of rows sorted by these."""
+    keys = ["bucket_u", "bucket_v", "first", "second"]
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(group)
+        found = [(i, block.partners(i, percent, share)) for i in range(len(group))] if group["label"].nunique() > 1 else []
         empty = np.empty(0, np.int64)
-        a, b = np.concatenate([empty, *ones]), np.concatenate([empty, *others])
-        return np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"a": np.concatenate([empty, *(np.full(len(at), block.rid[i]) for i, at in found)]),
+                             "b": np.concatenate([empty, *(block.rid[at] for _, at in found)])})
 
     def run(frames):
         held = None
@@ -159,22 +196,22 @@ def _blocks(share: float, best: bool):
             f = f if held is None else pd.concat([held, f], ignore_index=True)
             if f.empty:
                 continue
-            names = f[["bucket", "first", "second"]]
-            starts = np.flatnonzero((names != names.shift()).any(axis=1))
+            names = f[keys].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
             for s, e in zip(starts, starts[1:]):
-                yield pd.DataFrame(dict(zip("ab", pairs(f.iloc[s:e]))))
+                yield pairs(f.iloc[s:e])
             held = f.iloc[starts[-1]:]
         if held is not None and len(held):
-            yield pd.DataFrame(dict(zip("ab", pairs(held))))
+            yield pairs(held)
     return run
 
 
 class _Search:
-    """The steps over one table of distinct sets: rid, u, v, sketch."""
+    """The steps over one table of distinct sets: rid, n_shingles, u, v, sketch."""
 
-    def __init__(self, reps: DataFrame, members: DataFrame, sets: DataFrame, percent: int, share: float, block: int) -> None:
+    def __init__(self, reps: DataFrame, members: DataFrame, sets: DataFrame, percent: int, share: float, block: int, split: int) -> None:
         self.reps, self.members, self.sets = reps, members, sets
-        self.percent, self.share, self.block = percent, share, block
+        self.percent, self.share, self.block, self.split = percent, share, block, split
 
     def stars(self) -> DataFrame:
         """Likely pairs of each member of a shared bucket with the smallest one."""
@@ -185,44 +222,37 @@ class _Search:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked by their full sets."""
-        both = pairs.distinct().join(self.sets.toDF("a", "set_a"), "a").join(self.sets.toDF("b", "set_b"), "b")
+        sets = self.sets.select("rid", "shingles")
+        both = pairs.distinct().join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return materialize(both.mapInPandas(_linked(self.percent), "a long, b long"), "links")
 
     def labelled(self, labels: DataFrame) -> DataFrame:
         found = self.members.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
         return found.select("u", "rid", F.coalesce("label", "rid").alias("label"))
 
-    def across(self, labels: DataFrame, best: bool) -> DataFrame:
-        """Likely pairs of different components that share a table key."""
+    def across(self, labels: DataFrame) -> DataFrame:
+        """Pairs of different components that share a table and may be linked."""
         members = self.labelled(labels)
-        mixed = members.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("u")
-        open_rows = materialize(members.join(mixed, "u").join(self.reps.select("rid", "v"), "rid").select(
-            "rid", "label", F.explode("v").alias("v"), "u").select(F.xxhash64("u", "v").alias("bucket"), "rid", "label"), "table-keys")
-        number = F.xxhash64("rid").cast("decimal(38,0)")
-        buckets = open_rows.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.sum(number).alias("s"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("t")).filter("lo < hi")
-        # the same members often meet under many keys: one of these buckets will do
-        chosen = buckets.groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-        blocks = F.ceil(F.col("n") / self.block).cast("int")
-        rows = open_rows.join(chosen, "bucket").withColumn("blocks", blocks).withColumn(
+        mixed = members.groupBy("u").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        rows = members.join(mixed.select("u", "n"), "u").select(F.col("u").alias("bucket_u"), "n", "rid", "label")
+        whole = rows.join(self.reps.select("rid", "u", "v", "sketch", "n_shingles"), "rid").join(self.sets.select("rid", "prints"), "rid")
+        none = F.array(F.lit(0).cast("long"))
+        keyed = whole.withColumn("bucket_v", F.explode(F.when(F.col("n") > self.split, F.col("v")).otherwise(none)))
+        keyed = keyed.withColumn("blocks", F.ceil(F.col("n") / self.block).cast("int")).withColumn(
             "block", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("blocks")).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "label")
-        dealt = rows.join(self.reps.select("rid", "sketch"), "rid").repartition("bucket", "first", "second")
-        return dealt.sortWithinPartitions("bucket", "first", "second").mapInPandas(_blocks(self.share, best), "a long, b long")
+            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = ["bucket_u", "bucket_v", "first", "second"]
+        dealt = keyed.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).select(
+            *keys, "block", "rid", "label", "n_shingles", "u", "v", "sketch", "prints").repartition(*keys).sortWithinPartitions(*keys)
+        return dealt.mapInPandas(_blocks(self.percent, self.share), "a long, b long")
 
     def labels(self) -> DataFrame:
         links = self.confirmed(self.stars())
-        labels = components(links)
-        for best in (True, False):
-            links = links.union(self.confirmed(self.across(labels, best)))
-            labels = components(links)
-        return labels
+        return components(links.union(self.confirmed(self.across(components(links)))))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, tables: int = TABLES,
-           share: float = SKETCH_SHARE, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
+           share: float = SKETCH_SHARE, block: int = BLOCK, split: int = SPLIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their word shingles.
 
     Returns per row: doc_id, n_shingles, component_id (smallest id reachable) and kept
@@ -239,14 +269,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows
     per_set = filled.groupBy("digest").agg(F.min("uid").alias("rid"), F.min("doc_id").alias("low"))
     owner = materialize(firsts.select("uid", "digest", "doc_id").join(per_set, "digest"), "set-owners")
     heads = owner.filter("uid = rid")
-    reps = materialize(firsts.select(F.col("uid").alias("rid"), "u", "v", "sketch").join(heads.select("rid"), "rid"), "distinct-sets")
+    reps = materialize(firsts.select(F.col("uid").alias("rid"), "n_shingles", "u", "v", "sketch").join(heads.select("rid"), "rid"), "distinct-sets")
     keys = reps.select("rid", F.explode("u").alias("u"))
     shared = keys.groupBy("u").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).filter("n > 1").select("u", "pivot")
     members = materialize(keys.join(shared, "u"), "shared-keys")
     wanted = heads.join(members.select("rid").distinct(), "rid").select("rid", "digest", "doc_id")
     texts = narrow.join(small_side(wanted), narrow["doc_id"].eqNullSafe(wanted["doc_id"])).select("rid", "digest", "text")
-    sets = materialize(texts.mapInArrow(_sets(shingle), "rid long, shingles binary").dropDuplicates(["rid"]), "full-sets")
-    labels = _Search(reps, members, sets, percent, share, block).labels()
+    sets = materialize(texts.mapInArrow(_sets(shingle), "rid long, shingles binary, prints binary").dropDuplicates(["rid"]), "full-sets")
+    labels = _Search(reps, members, sets, percent, share, block, split).labels()
     found = owner.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
         "uid", F.coalesce("label", "rid").alias("label"), "low")
     lowest = found.groupBy("label").agg(F.min("low").alias("component"))

@@ -61,13 +61,13 @@ def _variants():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_links_agree_with_all_pairs(spark, block):
+@pytest.mark.parametrize("block, split", [(2048, 8192), (7, 10), (7, 8192)])
+def test_links_agree_with_all_pairs(spark, block, split):
     """Groups around the limit, where many members are not linked with the smallest one; blocks split the buckets."""
     rows = _variants()
     want = brute.near_components(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.groups(
-        spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+        spark.createDataFrame(rows, "doc_id long, text string"), block=block, split=split).collect()}
     assert got == want
 
 
