@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chargeframe.llm.sampling import hash_sample
 from chargeframe.runtime import durable
 
 # Notices by which works state their licence.
@@ -103,8 +104,7 @@ def training_rows(docs: DataFrame, families: list[str], key: str = "doc_id", tex
     before = F.slice(around, 1, (chance(F.lit("before")) * 8).cast("int"))
     after = F.slice(F.reverse(around), 1, (chance(F.lit("after")) * 8).cast("int"))
     varied = copies.select("label", F.when(F.col("copy") == 0, F.col("w")).otherwise(F.concat(before, kept, after)).alias("w"))
-    ids = docs.select(F.col(key).alias("k")).filter("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS)
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(ids), "k")
+    chosen = hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", SAMPLE_DOCS)
     ordinary = paragraphs(chosen, "k", "t").select(F.lit(0).alias("label"), words(F.col("body")).alias("w"))
     spotted = F.arrays_overlap(bigrams(F.col("w")), F.array(*(F.lit(b) for b in _template_bigrams(spark))))
     rows = varied.unionByName(ordinary.filter(~F.coalesce(spotted, F.lit(False))))

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chargeframe.llm.sampling import hash_sample
+
 #: The patterns of the kinds, in the order that breaks ties between spans.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -22,7 +24,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "markov"]
 #: Shortest value of an assignment.
 VALUE_LENGTH = 6
-#: Documents that the sample of identifiers comes from, chosen by a hash of their id.
+#: Documents (about) that the labelled samples are made from, chosen by a hash of their id.
 SAMPLE_DOCS = 500
 #: Log-likelihood ratio (natural) from which a token counts as random.
 THRESHOLD = 12.0
@@ -50,15 +52,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     """Log-likelihood ratio of each pair of characters, random against ordinary.
 
     Only the sampled documents are used, and at most 2 * SIZE ** 2 counts reach the driver."""
-    ids = docs.select(F.col(key).alias("k")).filter("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(ids), "k")
+    chosen = hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", sample)
     words = chosen.select("k", F.regexp_extract_all("t", F.lit(r"[A-Za-z]{2,}[0-9]{0,3}"), F.lit(0)).alias("w"))
     triples = words.filter(F.size("w") >= 3).select(F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: F.slice("w", i, 3))).alias("w"))
     joined = [F.array_join(F.transform("w", F.lower), sep) for sep in "_-/"] + [
         F.array_join(F.transform("w", F.initcap), ""), F.array_join("w", "="), F.upper(F.array_join("w", "_"))]
     ordinary = triples.select(F.explode(F.array(*joined)).alias("s"))
-    digests = ids.select(F.explode(F.transform(
+    digests = chosen.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(9)), lambda i: F.sha2(F.concat_ws(":", F.col("k").cast("string"), i.cast("string")), 256))).alias("d"))
     coded = F.base64(F.unhex("d"))
     random = digests.select(F.explode(F.array(

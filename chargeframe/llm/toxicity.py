@@ -14,11 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chargeframe.llm.sampling import hash_sample
 from chargeframe.runtime import durable
 
 #: Buckets that terms are hashed to, and characters of a word's beginning.
 BUCKETS, PREFIX = 1 << 20, 5
-#: Labelled rows the model is fitted on, chosen by a hash of their id.
+#: Labelled rows (about) the model is fitted on, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
 #: Features: buckets with the largest difference between the classes, which must be this many
 #: standard errors, and the most frequent of the others, in at most this share of the texts.
@@ -82,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, key: s
     several texts are learnt with each. With rows of one class only, or none, the score is constant.
     """
     known = labels.filter("toxic is not null").groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.filter(~held_out(key)).orderBy(F.xxhash64(key), key).limit(train_rows)
+    sample = hash_sample(known.filter(~held_out(key)), key, train_rows)
     rows = durable(docs.select(key, text).join(F.broadcast(sample), key).select("toxic", terms(F.col(text)).alias("__terms")))
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if ones in (0, n):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chargeframe.llm import chat, licences, secrets, toxicity, urlgraph
+from chargeframe.llm.sampling import hash_sample
 from check import TABLES, compare
 from tests.llm import brute
 from tests.llm.conftest import ROWS, SF
@@ -164,3 +165,11 @@ def test_toxicity_on_held_out_labels(spark):
 def test_constant_scores_without_classes(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.rate(docs, labels).collect()} == {0.0}
+
+
+def test_hash_sample_is_bounded_and_fixed(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("k"))
+    small = hash_sample(rows, "k", 400)
+    assert 300 < small.count() < 500 and small.filter("k is null").isEmpty()
+    assert {r["k"] for r in small.collect()} == {r["k"] for r in hash_sample(rows.repartition(3), "k", 400).collect()}
+    assert hash_sample(rows, "k", 50_000).count() == 19_980 and hash_sample(rows.limit(0), "k", 5).count() == 0
