@@ -1,15 +1,15 @@
 """Quality rules by tokeniser fertility.
 
-Public vocabularies measure each text: characters per token, the share of byte-fallback
-tokens and the entropy of the tokens. Bands per script reject what falls outside; they are
+A public vocabulary measures each text: characters per token, the share of byte-fallback
+tokens (parts of a character) and the entropy of the tokens. Bands per script reject what falls outside; they are
 wide enough for clean prose of any topic and catch encoded data, broken text and texts that
 say the same over and over. Every text is judged where it is read: no shuffle, no state.
 """
 
 from __future__ import annotations
 
+import base64
 import math
-import os
 from typing import NamedTuple
 
 import numpy as np
@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeframe.llm.shingles import windows
-from chargeframe.llm.wordbpe import encoder, vocabulary_path
+from chargeframe.llm.wordbpe import vocabulary_path
 
-PIECES = "piece_bpe_32k.model"
+#: A byte-level vocabulary for many languages, as ranks.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fewest words; largest share (percent) of words in repeated windows of this many words.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Texts of fewer tokens are too short for the bands.
@@ -41,7 +42,7 @@ class Band(NamedTuple):
 
 
 #: Bands per script. Latin prose has 1.5 to 5 characters per token here and needs next to no
-#: byte fallback; scripts that the vocabularies hardly cover fall back to bytes.
+#: byte fallback; scripts that the vocabulary hardly covers fall back to bytes.
 BANDS = {
     "latin": Band(1.2, 9.0, 0.1, 5.2, 0.72),
     "cjk": Band(0.25, 3.0, 1.0, 4.0, 0.5),
@@ -63,26 +64,35 @@ def script(text: str) -> str:
 class Meter:
     """Measures whole texts; one per Python worker."""
 
-    def __init__(self, pieces: str | None = None, words: str | None = None) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import sentencepiece
-
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces or vocabulary_path(PIECES))
-        self.n_pieces = self.pieces.get_piece_size()
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.n_pieces)])
-        self.words = encoder(words)
-
-    def measure(self, text: str, n_chars: int) -> tuple[float | None, float | None, float | None, float | None, int]:
-        """Characters per piece and per word-level token, byte share, entropy in bits, number of pieces."""
-        ids = np.array(self.pieces.encode(text, num_threads=1), np.int64)
+    def __init__(self, path: str | None = None) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or vocabulary_path(VOCABULARY), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.vocabulary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
+        self.is_part = np.zeros(self.size, bool)
+        for token, rank in ranks.items():
+            self.is_part[rank] = not _is_text(token)
+
+    def measure(self, words: list[bytes], n_chars: int) -> tuple[float | None, float | None, float | None, int]:
+        """Characters per token, share of tokens that are parts of characters, entropy in bits, number of tokens."""
+        if not words:
+            return None, None, None, 0
+        ids = self.vocabulary.encode_ordinary(b" ".join(words).decode())
         n = len(ids)
-        if not n:
-            return None, None, None, None, 0
-        counts = np.bincount(ids, minlength=self.n_pieces)
+        counts = np.bincount(ids, minlength=self.size)
         share = counts[counts > 0] / n
-        second = len(self.words.encode(text)) // 4
-        return (n_chars / n, n_chars / second if second else None, float(counts[self.is_byte].sum() / n),
-                float(-(share * np.log2(share)).sum()), n)
+        return n_chars / n, float(counts[self.is_part].sum() / n), float(-(share * np.log2(share)).sum()), n
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def repeated_words(words: list, size: int = WINDOW) -> int:
@@ -113,41 +123,37 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > REPEAT_PERCENT * n_words
 
 
-def in_band(band: Band, chars: float | None, chars_second: float | None, byte_share: float | None, entropy: float | None,
-            n_tokens: int) -> bool:
+def in_band(band: Band, chars: float | None, byte_share: float | None, entropy: float | None, n_tokens: int) -> bool:
     if n_tokens < MIN_TOKENS:
         return True
-    return (band.chars_low <= chars <= band.chars_high
-            and (chars_second is None or band.chars_low <= chars_second <= band.chars_high)
-            and byte_share <= band.byte_share and entropy >= min(band.entropy, band.spread * math.log2(n_tokens)))
+    return (band.chars_low <= chars <= band.chars_high and byte_share <= band.byte_share and entropy >= min(band.entropy, band.spread * math.log2(n_tokens)))
 
 
-_METERS: dict[tuple, Meter] = {}
+_METERS: dict[str | None, Meter] = {}
 
 
 def _judge(text: str | None, meter: Meter, bands: dict[str, Band]) -> tuple:
     text = text or ""
     words = text.encode().split()
     counts = base_counts(text, words)
-    measured, name = meter.measure(text, counts[1]), script(text)
+    measured, name = meter.measure(words, counts[1]), script(text)
     failed = base_failed(counts[0], counts[4])
     return (*counts, failed, not failed and in_band(bands[name], *measured), name, *measured)
 
 
-def _meter(paths: tuple) -> Meter:
-    if paths not in _METERS:
-        _METERS[paths] = Meter(*paths)
-    return _METERS[paths]
+def _meter(path: str | None) -> Meter:
+    if path not in _METERS:
+        _METERS[path] = Meter(path)
+    return _METERS[path]
 
 
 _COLUMNS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
             ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("script", "string"),
-            ("chars_per_piece", "double"), ("chars_per_word_token", "double"), ("byte_share", "double"),
-            ("entropy", "double"), ("n_pieces", "long")]
+            ("chars_per_token", "double"), ("byte_share", "double"), ("entropy", "double"), ("n_tokens", "long")]
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
-def rate(docs: DataFrame, bands: dict[str, Band] | None = None, pieces: str | None = None, words: str | None = None,
+def rate(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None = None,
          key: str = "doc_id", text: str = "text") -> DataFrame:
     """The counts, measures and verdict of every whole text.
 
@@ -159,7 +165,7 @@ def rate(docs: DataFrame, bands: dict[str, Band] | None = None, pieces: str | No
     bands = bands or BANDS
 
     def run(batches):
-        meter = _meter((pieces, words))
+        meter = _meter(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -172,13 +178,12 @@ def rate(docs: DataFrame, bands: dict[str, Band] | None = None, pieces: str | No
     return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in _COLUMNS))
 
 
-def keep(docs: DataFrame, bands: dict[str, Band] | None = None, pieces: str | None = None, words: str | None = None,
-         text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None = None, text: str = "text") -> DataFrame:
     """The rows whose text ``rate`` keeps, with all their columns."""
     bands, at_column = bands or BANDS, docs.columns.index(text)
 
     def run(batches):
-        meter = _meter((pieces, words))
+        meter = _meter(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -12,7 +12,7 @@ from tests.llm.conftest import SF
 def test_pipeline_against_plain_steps(spark):
     """All stages over documents, against row-by-row and pair-by-pair steps."""
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    meter = fertility._meter((None, None))
+    meter = fertility._meter(None)
     rows = [(i, t) for i, t in rows if not (lambda q: q[0] < 10 or 100 * q[4] > 20 * q[0])(brute.quality(t))
             and fertility._judge(t, meter, fertility.BANDS)[6]]
     kept = {g[0] for g in brute.exact_groups(rows) if g[3]}

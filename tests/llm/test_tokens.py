@@ -142,4 +142,4 @@ def test_bands_reject_encoded_data_and_keep_prose(spark):
 
 
 def in_band(r):
-    return fertility.in_band(fertility.BANDS[r["script"]], r["chars_per_piece"], r["chars_per_word_token"], r["byte_share"], r["entropy"], r["n_pieces"])
+    return fertility.in_band(fertility.BANDS[r["script"]], r["chars_per_token"], r["byte_share"], r["entropy"], r["n_tokens"])
