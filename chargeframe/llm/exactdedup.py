@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from chargeframe.runtime import materialize, union_all
 
 #: Bytes of distinct text that one table holds.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 #: Bytes of records that a bucket should have.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Rows per batch that a task passes on.
-BATCH = 4096
+BATCH = 1024
 
 _SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _RUN = re.compile(b"  +")

@@ -41,8 +41,8 @@ SKETCH_SHARE = 0.66
 #: Members of a bucket that meet in one block, and members from which on a bucket is split by
 #: the keys of the second collection.
 BLOCK, SPLIT = 2048, 8192
-#: Digests that a scan task remembers to spot equal sets early.
-REMEMBERED = 200_000
+#: Digests that a scan task remembers to spot equal sets early, and texts that it hashes at once.
+REMEMBERED, TEXTS = 100_000, 64
 
 
 def _bytes(column) -> list[bytes]:
@@ -65,8 +65,8 @@ def _scan(size: int, rows: int, tables: int):
     def run(batches):
         hasher, base, n_rows, known = MinHasher(rows, tables), TaskContext.get().partitionId() << 40, 0, {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 out: tuple[list, ...] = tuple([] for _ in range(7))
                 for doc_id, shingles in zip(part.column(0).to_pylist(), shingle_sets(_bytes(part.column(1)), size)):
                     row, digest = base + n_rows, _digest(shingles)
@@ -99,8 +99,8 @@ def _sets(size: int):
     """Sets of the wanted rows, checked by their digest, and their fingerprints."""
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 found = [(rid, s.tobytes(), fingerprints(s).tobytes()) for rid, want, s in zip(
                     part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(_bytes(part.column(2)), size))
                     if _digest(s) == want]

@@ -31,7 +31,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         held = np.full(size, base, _U)
         held[0] = 1
         np.multiply.accumulate(held, out=held)
-        if size <= 1 << 23:
+        if size <= 1 << 19:
             _powers[int(base)] = held
     return held[:n]
 

@@ -16,8 +16,8 @@ import unicodedata
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept per Python worker (about 200 bytes each).
-CACHE_WORDS = 300_000
+#: Words kept per Python worker (about 200 bytes each, 350 where texts are decoded too).
+CACHE_WORDS = 120_000
 
 _PLAIN = "".join(c for c in map(chr, range(0x250)) if c in "\t\n\r" or (c >= " " and c not in "\x7fİ" and not "\x80" <= c <= "\x9f"))
 _OTHER = re.compile("[^" + re.escape(_PLAIN) + "]|<\\|")
@@ -65,22 +65,26 @@ class WordEncoder:
     def library_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the words of one text into the table, which holds them until the next call."""
-        new = set(words).difference(self._ids)
-        if len(self._ids) + len(new) > self.cache_words:
+    def _learn(self, words: list[str], decoding: bool) -> None:
+        """Put the words of one text into the table, which holds them until the next call.
+
+        Their decoded tokens have a table of their own, which is only filled where they are asked for."""
+        table = self._tokens if decoding else self._ids
+        new = set(words).difference(table)
+        if len(table) + len(new) > self.cache_words:
             self._ids, self._tokens, new = {}, {}, set(words)
         model, symbols = self.tokenizer.model, self._symbols
         for word in new:
             tokens = model.tokenize("".join([symbols[b] for b in word.encode()]))
             self._ids[word] = np.array([t.id for t in tokens], "<u4").tobytes()
-            self._tokens[word] = " ".join([t.value for t in tokens])
+            if decoding:
+                self._tokens[word] = " ".join([t.value for t in tokens])
 
-    def _words(self, text: str) -> list[str] | None:
+    def _words(self, text: str, decoding: bool = False) -> list[str] | None:
         if _OTHER.search(text):
             return None
         words = _WORD.findall(text.lower())
-        self._learn(words)
+        self._learn(words, decoding)
         return words
 
     def encode(self, text: str) -> bytes:
@@ -92,7 +96,7 @@ class WordEncoder:
 
     def encode_and_decode(self, text: str) -> tuple[bytes, str]:
         """Ids as in ``encode``, and the text that the library decodes them to."""
-        words = self._words(text)
+        words = self._words(text, decoding=True)
         if words is None:
             ids = self.library_ids(text)
             return np.array(ids, "<u4").tobytes(), self.decode(ids)
