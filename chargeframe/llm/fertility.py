@@ -1,9 +1,12 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary measures each text: characters per token, the share of byte-fallback
-tokens (parts of a character) and the entropy of the tokens. Bands per script reject what falls outside; they are
-wide enough for clean prose of any topic and catch encoded data, broken text and texts that
-say the same over and over. Every text is judged where it is read: no shuffle, no state.
+Three public vocabularies measure each whole text, white space included: a byte-level one and
+a sentencepiece one give characters per token, the share of byte-fallback tokens (parts of a
+character) and the entropy of the tokens, a word-level one characters per token. Bands per script
+reject what falls outside; they are wide enough for clean prose of any topic and catch encoded
+data, broken text and texts that say the same over and over. In scripts that neither of the first two
+vocabularies covers, noise of letters with the lengths of words cannot be told from prose. Every text
+is judged where it is read: no shuffle, no state.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeframe.llm.shingles import windows
-from chargeframe.llm.wordbpe import vocabulary_path
+from chargeframe.llm.wordbpe import encoder, vocabulary_path
 
 #: A byte-level vocabulary for many languages, as ranks.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: A sentencepiece vocabulary with byte fallback.
+PIECES = "piece_bpe_32k.model"
 #: Fewest words; largest share (percent) of words in repeated windows of this many words.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Texts of fewer tokens are too short for the bands.
@@ -32,33 +37,81 @@ SPACES = " \t\n\v\f\r"
 
 class Band(NamedTuple):
     """What a script accepts. The entropy in bits must reach ``entropy``, or ``spread`` times
-    the largest that so few tokens can have."""
+    the largest that so few tokens can have. The fields from ``pieces_low`` on are for the sentencepiece
+    vocabulary, the last one for the word-level vocabulary."""
 
     chars_low: float
     chars_high: float
     byte_share: float
     entropy: float
     spread: float
+    pieces_low: float
+    pieces_byte_share: float
+    pieces_entropy: float
+    words_low: float
 
 
-#: Bands per script. Latin prose has 1.5 to 5 characters per token here and needs next to no
-#: byte fallback; scripts that the vocabulary hardly covers fall back to bytes.
+#: Bands per script, between what clean prose of its languages and what noise, encoded data and text read in a
+#: wrong encoding measure. "other" are scripts whose letters the sentencepiece vocabulary knows (Devanagari,
+#: Bengali, Tamil, Thai, Georgian, Armenian) and all that is no letter of a script named
+#: here; for "rare" ones both vocabularies fall back to bytes.
 BANDS = {
-    "latin": Band(1.2, 9.0, 0.1, 5.2, 0.72),
-    "cjk": Band(0.25, 3.0, 1.0, 4.0, 0.5),
-    "other": Band(0.25, 9.0, 1.0, 4.0, 0.5),
+    "latin": Band(1.5, 9.0, 0.1, 5.2, 0.72, 1.2, 0.1, 5.2, 1.2),
+    "accented": Band(0.85, 9.0, 0.3, 4.5, 0.6, 0.8, 0.2, 4.5, 0.6),
+    "cyrillic": Band(1.25, 9.0, 0.3, 5.0, 0.6, 1.2, 0.1, 5.0, 0.5),
+    "greek": Band(0.8, 9.0, 0.55, 4.5, 0.6, 0.6, 0.2, 3.8, 0.4),
+    "semitic": Band(1.0, 9.0, 0.3, 4.5, 0.6, 0.6, 0.2, 3.6, 0.4),
+    "cjk": Band(0.65, 3.0, 0.65, 4.0, 0.5, 0.5, 0.6, 4.0, 0.36),
+    "other": Band(0.3, 9.0, 1.0, 3.0, 0.4, 0.5, 0.5, 3.8, 0.4),
+    "rare": Band(0.25, 9.0, 1.0, 3.0, 0.4, 0.3, 0.93, 3.4, 0.25),
 }
 
+#: First code points and the script from there on; None is not counted.
+_RANGES = [(0, None), (0x41, "latin"), (0x5B, None), (0x61, "latin"), (0x7B, None), (0xC0, "latin"), (0x250, "other"),
+           (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "semitic"), (0x700, "rare"), (0x750, "semitic"),
+           (0x780, "rare"), (0x8A0, "semitic"), (0x900, "other"), (0xA00, "rare"), (0xB80, "other"), (0xC00, "rare"), (0xC80, "other"),
+           (0xD00, "rare"), (0xE00, "other"), (0xE80, "rare"), (0x10A0, "other"), (0x1100, "cjk"), (0x1200, "rare"), (0x1C80, "cyrillic"),
+           (0x1C90, "other"), (0x1E00, "accented"), (0x1F00, "greek"), (0x2000, "other"), (0x2E80, "cjk"), (0xA000, "rare"), (0xA640, "cyrillic"),
+           (0xA6A0, "rare"), (0xA720, "other"), (0xA800, "rare"), (0xAC00, "cjk"), (0xD7A4, "other"), (0xF900, "cjk"), (0xFB00, "other"),
+           (0xFB1D, "semitic"), (0xFE00, "other"), (0xFE70, "semitic"), (0xFEFF, "other"), (0xFF66, "cjk"), (0xFFA0, "other"), (0xFFF0, None), (0x10000, "other"), (0x20000, "cjk"),
+           (0x40000, "other")]
+_SCRIPTS = [*BANDS, None]
+_FIRST = np.array([first for first, _ in _RANGES], np.uint32)
+_SCRIPT = np.array([_SCRIPTS.index(name) for _, name in _RANGES])
+#: Share of the Latin letters from the additional block that makes a text accented.
+ACCENTED = 0.05
+
 
 def script(text: str) -> str:
     """The script of most letters; texts without letters count as Latin."""
     if text.isascii():
         return "latin"
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    latin = int(((codes | 32) - 97 < 26).sum() + ((codes >= 0xC0) & (codes < 0x250)).sum())
-    cjk = int((((codes >= 0x2E80) & (codes < 0xA000)) | ((codes >= 0xAC00) & (codes < 0xD7A4)) | (codes >= 0x20000)).sum())
-    other = int((codes >= 0x250).sum()) - cjk
-    return max(("latin", latin), ("cjk", cjk), ("other", other), key=lambda x: x[1])[0]
+    counts = dict(zip(_SCRIPTS, np.bincount(_SCRIPT[np.searchsorted(_FIRST, codes, "right") - 1], minlength=len(_SCRIPTS)).tolist()))
+    accented = counts.pop("accented")
+    counts["latin"] += accented
+    del counts[None]
+    name = max(counts, key=counts.__getitem__)
+    return "accented" if name == "latin" and accented > ACCENTED * counts["latin"] else name
+
+
+class Measures(NamedTuple):
+    chars: float | None = None
+    byte_share: float | None = None
+    entropy: float | None = None
+    n_tokens: int = 0
+    pieces_chars: float | None = None
+    pieces_byte_share: float | None = None
+    pieces_entropy: float | None = None
+    n_pieces: int = 0
+    words_chars: float | None = None
+
+
+def _counted(ids, is_part: np.ndarray, n_chars: int) -> tuple[float, float, float, int]:
+    n, ordered = len(ids), np.sort(ids)
+    counts = np.diff(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))))
+    share = counts / n
+    return n_chars / n, float(np.count_nonzero(is_part[ids]) / n), float(-(share * np.log2(share)).sum()), n
 
 
 class Meter:
@@ -66,25 +119,26 @@ class Meter:
 
     def __init__(self, path: str | None = None) -> None:
         import public_tokenizers
+        import sentencepiece
         import tiktoken
 
         with open(path or vocabulary_path(VOCABULARY), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.vocabulary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = max(ranks.values()) + 1
-        self.is_part = np.zeros(self.size, bool)
+        self.is_part = np.zeros(max(ranks.values()) + 1, bool)
         for token, rank in ranks.items():
             self.is_part[rank] = not _is_text(token)
+        self.pieces, self.words = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(PIECES)), encoder()
+        byte = {f"<0x{b:02X}>" for b in range(256) if chr(b) not in SPACES}
+        self.is_byte = np.array([self.pieces.id_to_piece(i) in byte for i in range(self.pieces.get_piece_size())])
 
-    def measure(self, words: list[bytes], n_chars: int) -> tuple[float | None, float | None, float | None, int]:
-        """Characters per token, share of tokens that are parts of characters, entropy in bits, number of tokens."""
-        if not words:
-            return None, None, None, 0
-        ids = self.vocabulary.encode_ordinary(b" ".join(words).decode())
-        n = len(ids)
-        counts = np.bincount(ids, minlength=self.size)
-        share = counts[counts > 0] / n
-        return n_chars / n, float(counts[self.is_part].sum() / n), float(-(share * np.log2(share)).sum()), n
+    def measure(self, text: str, n_chars: int) -> Measures:
+        """The measures of a whole text whose characters other than white space are ``n_chars``."""
+        if not n_chars:
+            return Measures()
+        n_words = self.words.count(text)
+        return Measures(*_counted(self.vocabulary.encode_to_numpy(text, disallowed_special=()), self.is_part, n_chars),
+                        *_counted(np.array(self.pieces.encode(text, num_threads=1)), self.is_byte, n_chars), n_chars / n_words if n_words else None)
 
 
 def _is_text(token: bytes) -> bool:
@@ -123,10 +177,16 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > REPEAT_PERCENT * n_words
 
 
-def in_band(band: Band, chars: float | None, byte_share: float | None, entropy: float | None, n_tokens: int) -> bool:
-    if n_tokens < MIN_TOKENS:
-        return True
-    return (band.chars_low <= chars <= band.chars_high and byte_share <= band.byte_share and entropy >= min(band.entropy, band.spread * math.log2(n_tokens)))
+def in_band(band: Band, chars: float | None, byte_share: float | None, entropy: float | None, n_tokens: int,
+            pieces_chars: float | None = None, pieces_byte_share: float | None = None, pieces_entropy: float | None = None,
+            n_pieces: int = 0, words_chars: float | None = None) -> bool:
+    """Whether all measures are inside; those of a vocabulary that gave too few tokens do not count."""
+    if n_tokens >= MIN_TOKENS and not (band.chars_low <= chars <= band.chars_high and byte_share <= band.byte_share
+                                       and entropy >= min(band.entropy, band.spread * math.log2(n_tokens))):
+        return False
+    return n_pieces < MIN_TOKENS or (band.pieces_low <= pieces_chars <= band.chars_high and pieces_byte_share <= band.pieces_byte_share
+                                     and pieces_entropy >= min(band.pieces_entropy, band.spread * math.log2(n_pieces))
+                                     and (words_chars is None or band.words_low <= words_chars <= band.chars_high))
 
 
 _METERS: dict[str | None, Meter] = {}
@@ -136,7 +196,7 @@ def _judge(text: str | None, meter: Meter, bands: dict[str, Band]) -> tuple:
     text = text or ""
     words = text.encode().split()
     counts = base_counts(text, words)
-    measured, name = meter.measure(words, counts[1]), script(text)
+    measured, name = meter.measure(text, counts[1]), script(text)
     failed = base_failed(counts[0], counts[4])
     return (*counts, failed, not failed and in_band(bands[name], *measured), name, *measured)
 
@@ -149,7 +209,9 @@ def _meter(path: str | None) -> Meter:
 
 _COLUMNS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
             ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("script", "string"),
-            ("chars_per_token", "double"), ("byte_share", "double"), ("entropy", "double"), ("n_tokens", "long")]
+            ("chars_per_token", "double"), ("byte_share", "double"), ("entropy", "double"), ("n_tokens", "long"),
+            ("chars_per_piece", "double"), ("piece_byte_share", "double"), ("piece_entropy", "double"), ("n_pieces", "long"),
+            ("chars_per_word_token", "double")]
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 

@@ -61,6 +61,7 @@ class WordEncoder:
         self._symbols = byte_symbols()
         self._ids: dict[str, bytes] = {}
         self._tokens: dict[str, str] = {}
+        self._counts: dict[str, int] = {}
 
     def library_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -94,6 +95,21 @@ class WordEncoder:
             return np.array(self.library_ids(text), "<u4").tobytes()
         return b"".join(map(self._ids.__getitem__, words))
 
+    def count(self, text: str) -> int:
+        """How many ids ``encode`` gives."""
+        if _OTHER.search(text):
+            return len(self.library_ids(text))
+        words, table = _WORD.findall(text.lower()), self._counts
+        new = set(words).difference(table)
+        if len(table) + len(new) > self.cache_words:
+            table = self._counts = {}
+            new = set(words)
+        tokenize, symbols = self.tokenizer.model.tokenize, self._symbols
+        for word in new:
+            # the printable bytes of ASCII stand for themselves
+            table[word] = len(tokenize(word if word.isascii() and word.isprintable() else "".join([symbols[b] for b in word.encode()])))
+        return sum(map(table.__getitem__, words))
+
     def encode_and_decode(self, text: str) -> tuple[bytes, str]:
         """Ids as in ``encode``, and the text that the library decodes them to."""
         words = self._words(text, decoding=True)
