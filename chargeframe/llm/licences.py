@@ -3,8 +3,9 @@
 A sparse logistic regression over hashed word n-grams, fitted on varied template notices
 and ordinary paragraphs, names the licence family of a paragraph. A second regression on
 held-back rows turns its margin over the unknown class into a calibrated probability.
-What passes is compared with the family's templates. DataFrame functions and MLlib only; a
-paragraph is judged where it is read, without a shuffle.
+What passes is compared with the family's templates. Lines are judged, and where a word pair of a
+notice stands, so are the words from there over the next lines, since notices are often wrapped.
+DataFrame functions and MLlib only; a paragraph is judged where it is read, and only what was found is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import json
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chargeframe.llm.sampling import hash_sample
@@ -88,6 +89,58 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(lines).alias("paragraph", "body")).filter(F.col("body").rlike(r"[\p{L}\p{N}]"))
 
 
+def stretches(docs: DataFrame, pairs: list[int], longest: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, uid, paragraph, last, w): the words of each line, and of stretches that go over lines.
+
+    Stretches start where a line has its first pair of words of a notice and end at a blank line or after as many words
+    as notices have: 12 and its doubles up to the first that holds the longest."""
+    sizes = [12]
+    while sizes[-1] < longest:
+        sizes.append(2 * sizes[-1])
+    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
+    # an empty word stands for a line without words and pairs with none
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.transform(
+        lines, lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), words(x)).otherwise(F.array(F.lit("")))).alias("lw"))
+    rows = rows.withColumn("all", F.flatten("lw")).withColumn("pairs", bigrams(F.col("all")))
+    known = F.array(*(F.lit(b) for b in pairs))
+    spotted = (F.size("lw") > 1) & F.arrays_overlap("pairs", known)
+    nothing = F.array().cast("array<int>")
+    rows = rows.withColumn("marks", F.when(spotted, F.filter(
+        F.transform("pairs", lambda b, i: F.when(F.array_contains(known, b), i).otherwise(F.lit(-1))), lambda i: i >= 0)).otherwise(nothing))
+    rows = rows.withColumn("line", F.when(F.size("marks") > 0, F.flatten(F.transform(
+        "lw", lambda x, i: F.array_repeat(i, F.size(x))))).otherwise(nothing))
+    rows = rows.withColumn("marks", F.filter("marks", lambda m, k: (k == 0) | (F.get("line", F.get("marks", k - 1)) != F.get("line", m))))
+
+    def over(size: int) -> Column:
+        cut = F.transform("marks", lambda m: F.struct(m.alias("m"), F.slice("all", m + 1, F.lit(size)).alias("w")))
+        cut = F.transform(cut, lambda s: F.struct(s["m"].alias("m"), F.when(
+            F.array_position(s["w"], "") > 0, F.slice(s["w"], F.lit(1), F.array_position(s["w"], "").cast("int") - 1)).otherwise(s["w"]).alias("w")))
+        return F.filter(F.transform(cut, lambda s: F.struct(
+            F.get("line", s["m"]).alias("paragraph"), F.get("line", s["m"] + F.size(s["w"]) - 1).alias("last"), s["w"].alias("w"))),
+            lambda s: s["last"] > s["paragraph"])
+
+    single = F.filter(F.transform("lw", lambda x, i: F.struct(i.alias("paragraph"), i.alias("last"), x.alias("w"))), lambda s: F.get(s["w"], F.lit(0)) != "")
+    return rows.select("doc_id", "uid", F.explode(F.concat(single, *map(over, sizes))).alias("s")).select("doc_id", "uid", "s.*")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """Of what overlaps in a text the most similar, then the shortest; what no template confirms gives way to a confirmed stretch."""
+    order = [F.desc("similarity"), F.size("__w"), F.desc("probability"), F.col("last")]
+    found = found.withColumn("__nth", F.row_number().over(Window.partitionBy("uid", "paragraph", "family").orderBy(*order))).filter("__nth = 1")
+    near = Window.partitionBy("uid", "family").orderBy("paragraph")
+    one = F.struct("paragraph", "last", "similarity", F.size("__w").alias("n"))
+    found = found.withColumns({"__before": F.lag(one).over(near), "__after": F.lead(one).over(near), "__covered": F.max(
+        F.when((F.col("last") > F.col("paragraph")), F.col("last"))).over(
+        Window.partitionBy("uid").orderBy("paragraph").rangeBetween(Window.unboundedPreceding, 0))})
+    size = F.size("__w")
+    lost = ((F.col("__before.last") >= F.col("paragraph")) & (
+        (F.col("__before.similarity") > F.col("similarity")) | ((F.col("__before.similarity") == F.col("similarity")) & (F.col("__before.n") <= size)))) | (
+        (F.col("__after.paragraph") <= F.col("last")) & (
+            (F.col("__after.similarity") > F.col("similarity")) | ((F.col("__after.similarity") == F.col("similarity")) & (F.col("__after.n") < size))))
+    hidden = (F.col("similarity") < SIMILARITY) & (F.coalesce(F.col("__covered"), F.lit(-1)) >= F.col("paragraph"))
+    return found.filter(~F.coalesce(lost, F.lit(False)) & ~hidden)
+
+
 def training_rows(docs: DataFrame, families: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(label, w, part): varied notices and ordinary paragraphs; label 0 is unknown, part 0 fits and 1 calibrates."""
     spark = docs.sparkSession
@@ -152,9 +205,9 @@ class Classifier:
         return out.withColumn("__margin", F.log(best + 1e-9) - F.log(F.get("__p", F.lit(0)) + 1e-9)).withColumn(
             "__best", F.array_position(F.slice("__p", 2, len(self.families)), best))
 
-    def name(self, body: DataFrame, column: str = "body") -> DataFrame:
-        """Adds family, probability and similarity to paragraphs; only those with a word or pair of a notice remain."""
-        known = self._features(body.withColumn("__w", words(F.col(column))).withColumn("g", grams(F.col("__w"))))
+    def name(self, rows: DataFrame, column: str = "w") -> DataFrame:
+        """Adds family, probability and similarity to paragraphs' words; only those with a word or pair of a notice remain."""
+        known = self._features(rows.withColumn("__w", F.col(column)).withColumn("g", grams(F.col("__w"))))
         judged = self._margin(self.model.transform(known))
         family = F.get(F.array(*map(F.lit, self.families)), (F.col("__best") - 1).cast("int"))
         pairs = bigrams(F.col("__w"))
@@ -168,12 +221,16 @@ class Classifier:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Licence notices in every paragraph (line) of every whole text.
+    """Licence notices in every whole text, on one line or wrapped over several.
 
-    Returns per paragraph that the classifier gives to a family: doc_id, paragraph (number of
-    the line from 0), family, probability (calibrated), similarity (share of the best template's
-    word pairs) and confirmed. Null, empty and blank texts have no paragraph. Repeated rows and null
-    ids are judged like others; an empty table gives none; other columns are ignored.
+    Returns per notice that the classifier gives to a family: doc_id, paragraph (number of its first
+    line from 0), family, probability (calibrated), similarity (share of the best template's
+    word pairs) and confirmed. Notices over several lines must be confirmed; a blank line ends them. Null, empty
+    and blank texts have no paragraph. Repeated rows and null ids are judged like others; an empty table gives
+    none; other columns are ignored.
     """
-    named = Classifier(docs, key, text).name(paragraphs(docs, key, text))
+    classifier = Classifier(docs, key, text)
+    longest = max(len(r["b"]) + 1 for r in classifier.templates)
+    rows = stretches(docs, _template_bigrams(docs.sparkSession), longest, key, text)
+    named = _best(classifier.name(rows).filter((F.col("last") == F.col("paragraph")) | (F.col("similarity") >= SIMILARITY)))
     return named.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= SIMILARITY).alias("confirmed"))
