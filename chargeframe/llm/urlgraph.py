@@ -2,8 +2,9 @@
 
 Where no rule fits, the host decides. Trust starts at hosts whose ruled pages are allowed
 and follows the links (personalised PageRank); distrust starts at hosts whose ruled
-pages are blocked and goes against them, to those that link there. A host belongs to its
-parent domain, which counts as a link both ways.
+pages are blocked and goes against them, to those that link there. It is split among these, so the mean
+distrust of what a host links to, which is not, counts as well. A host belongs to its parent domain, which counts as a
+link both ways.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from chargeframe.runtime import durable, materialize, small_side
 DAMPING, TOLERANCE = 0.6, 1e-3
 #: Steps between checkpoints.
 STEPS_HELD = 3
-#: A host is blocked if its distrust is at least this much and exceeds its trust.
+#: A host is blocked if its distrust, or the mean distrust of what it links to, is at least this much and its distrust
+#: exceeds its trust.
 DISTRUST = 0.02
 #: Attributes whose value is a link.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
@@ -81,12 +83,14 @@ def _parents(hosts: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """Personalised PageRank per kind: edges (kind, src, dst, n), seeds (kind, host, seed); returns (kind, host, rank).
+    """Ranks per kind from edges (kind, src, dst, owner, n) and seeds (kind, host, seed); returns (kind, host, rank).
 
+    What an edge passes on is its share of its owner's edges: owned by src, that is personalised PageRank;
+    owned by dst, a host gets the weighted mean over its edges, which the number of edges at src does not change.
     Ranks are not scaled to a sum of one: a seed of 1 gives its host at least 1 - damping
     however many hosts there are."""
-    total = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    shares = durable(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    total = edges.groupBy("kind", "owner").agg(F.sum("n").alias("total"))
+    shares = durable(edges.join(total, ["kind", "owner"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
     base = durable(seeds.filter("seed > 0").select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
     ranks = base
     for step in range(1, math.ceil(math.log(tolerance) / math.log(damping)) + 1):
@@ -120,17 +124,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     graph = links(pages, url, html).unionByName(both_ways.select(
         F.col("host").alias("src"), F.col("other").alias("dst"), F.lit(1).cast("long").alias("n"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     graph = durable(graph)
-    edges = graph.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(
-        graph.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("n")))
+    edges = graph.select(F.lit("trust").alias("kind"), "src", "dst", F.col("src").alias("owner"), "n").union(
+        graph.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("dst"), F.col("n"))).union(
+        graph.select(F.lit("linked"), F.col("dst"), F.col("src"), F.col("src"), F.col("n")))
     seeded = known.filter("n > 0")
     seeds = seeded.select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.col("n")).alias("seed")).union(
-        seeded.select(F.lit("distrust"), F.col("host"), F.col("blocked") / F.col("n")))
+        seeded.select(F.explode(F.array(F.lit("distrust"), F.lit("linked"))), F.col("host"), F.col("blocked") / F.col("n")))
     ranks = propagate(edges, seeds, damping, tolerance)
 
     def rank(kind: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
 
-    scores = small_side(ranks.groupBy("host").agg(rank("trust"), rank("distrust")))
-    out = ruled.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    method = F.when((F.col("host") == "") | ((F.col("distrust") >= distrust) & (F.col("distrust") > F.col("trust"))), "block").otherwise("allow")
+    scores = small_side(ranks.groupBy("host").agg(rank("trust"), rank("distrust"), rank("linked")))
+    out = ruled.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust", "linked")})
+    method = F.when((F.col("host") == "") | ((F.greatest("distrust", "linked") >= distrust) & (F.col("distrust") > F.col("trust"))), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
