@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chargeframe.llm import bpe, chat, exactdedup, fertility, licences, neardup, packing, secrets, toxicity, urlgraph
+from chargeframe.llm import bpe, chat, exactdedup, fertility, licences, neardup, packing, pii, secrets, toxicity, urlgraph
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -87,4 +87,9 @@ def grace_dedup(spark, sf_dir):
     return exactdedup.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op12_validated_pii")
+def validated_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle
