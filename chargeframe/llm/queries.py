@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chargeframe.llm import bpe, chat, exactdedup, fertility, licences, neardup, packing, pii, secrets, toxicity, urlgraph
+from chargeframe.llm import bpe, chat, codebooks, exactdedup, fertility, licences, neardup, packing, pii, secrets, toxicity, urlgraph
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -87,6 +87,44 @@ def grace_dedup(spark, sf_dir):
     return exactdedup.groups(table(spark, sf_dir, "documents"))
 
 
+def _codebook_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS) -> str:
+    """The rounds written out: every part against every entry, then floor(sum / count) per component."""
+    steps = [f"""
+    kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS (
+        SELECT vec_id, label, part, x[part * len(x) // {parts} + 1:(part + 1) * len(x) // {parts}] AS x
+        FROM kept, (SELECT unnest(range({parts})) AS part)),
+    book0 AS (
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM parts
+        QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+    near{r} AS MATERIALIZED (
+        SELECT vec_id, label, part, x, min(d * {entries} + entry) % {entries} AS entry, min(d) AS d FROM (
+            SELECT p.*, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM parts p JOIN book{r} USING (part)) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+    moved{r} AS (
+        SELECT part, entry, list(c ORDER BY pos) AS c FROM (
+            SELECT part, entry, pos, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS c
+            FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS pos FROM near{r}) GROUP BY ALL) GROUP BY ALL),
+    book{r + 1} AS MATERIALIZED (
+        SELECT part, entry, coalesce(m.c::BIGINT[], b.c) AS c FROM book{r} b LEFT JOIN moved{r} m USING (part, entry))""")
+    return "WITH " + ",".join(steps) + f"""
+    SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error,
+        (sum(sum(d)) OVER (PARTITION BY label))::BIGINT AS label_error,
+        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+    FROM near{rounds} GROUP BY vec_id, label"""
+
+
+@query("op11_anchor_codebooks", _codebook_sql())
+def anchor_codebooks(spark, sf_dir):
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_validated_pii")
 def validated_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
