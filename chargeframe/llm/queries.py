@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chargeframe.llm import bpe, chat, codebooks, exactdedup, fertility, licences, neardup, packing, pii, secrets, toxicity, urlgraph
+from chargeframe.llm import bpe, chat, codebooks, exactdedup, fertility, licences, neardup, packing, pii, secrets, signatures, toxicity, urlgraph
 from chargeframe.registry.book import Book, table
 
 BOOK = Book()
@@ -130,4 +130,31 @@ def validated_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+@query("op13_bitsliced_search", r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    items AS (
+        SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+    size AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS total FROM docs WHERE len(t) > 0),
+    words AS (SELECT item, item_id, term, count(*) AS reps FROM (SELECT item, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+    tf AS (
+        SELECT row, doc_id, length, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS length, unnest(t) AS term FROM docs)
+        WHERE term IN (SELECT term FROM words) GROUP BY ALL),
+    df AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, n),
+    scores AS (
+        SELECT item, item_id, row, doc_id,
+            sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * length * n) // total))))::BIGINT AS score
+        FROM words JOIN tf USING (term) JOIN df USING (term), size GROUP BY ALL)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 20
+""")
+def bitsliced_search(spark, sf_dir):
+    return signatures.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle
