@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -217,10 +218,9 @@ def _pass(blocks: RDD, pending: list, asks: list) -> list:
     found = blocks.mapPartitions(_passing(pending, asks))
     if blocks.getNumPartitions() > DIRECT:
         return found.treeReduce(_added, depth=2)
-    out, *rest = found.collect()
-    for other in rest:
-        out = _added(out, other)
-    return out
+    parts = found.collect()
+    return [list(filter(None, own)) if any(isinstance(x, tuple) for x in own) else reduce(lambda a, b: _added([a], [b])[0], own)
+            for own in zip(*parts)]
 
 
 def _shrunk(g, s: Settings):
@@ -306,13 +306,14 @@ def _ask(model: Model, round_: int) -> tuple | None:
     return ("leaves", model.settings, tree)
 
 
-def _learn_splits(model: Model, found: tuple, n_features: int) -> None:
-    """Takes the sums of the wanted nodes and splits those that may be split."""
+def _learn_splits(model: Model, found: tuple | list | None, n_features: int) -> None:
+    """Takes the sums of the wanted nodes, whole or per partition, and splits those that may be split."""
     s, wanted = model.settings, [k for k, x in enumerate(model.nodes) if not x.known]
     size = n_features * BINS
     g, n = np.zeros(len(wanted) * size, np.int64), np.zeros(len(wanted) * size, np.int64)
-    if found is not None:
-        g[found[0]], n[found[0]] = found[1], found[2]
+    for at, part_g, part_n in ([found] if isinstance(found, tuple) else found or []):
+        g[at] += part_g
+        n[at] += part_n
     for k, own_g, own_n in zip(wanted, g.reshape(-1, n_features, BINS), n.reshape(-1, n_features, BINS)):
         node = model.nodes[k]
         node.known = True

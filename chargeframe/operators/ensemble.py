@@ -69,17 +69,8 @@ class Ensemble:
                 out[at:at + ROWS] += self.rate * self.value[node]
         return out
 
-    def column(self, features: Column) -> Column:
-        """The prediction of a column of feature arrays, by Arrow batches."""
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for v in batches:
-                yield pd.Series(self.predict(np.stack(v.to_numpy())) if len(v) else [], dtype="float64")
-        return score(features)
-
     def transform(self, df: DataFrame, features: str = "features", out: str = "prediction") -> DataFrame:
-        vectors = isinstance(df.schema[features].dataType, VectorUDT)
-        return df.withColumn(out, self.column(vector_to_array(features) if vectors else F.col(features)))
+        return predict(df, {out: self}, features)
 
     def table(self, spark: SparkSession, kind: str = "") -> DataFrame:
         """One row per node, with the model's settings repeated; a model without trees has one row without a node."""
@@ -100,6 +91,23 @@ class Ensemble:
                         column("left", np.int64), column("right", np.int64), column("value", float), column("rows", float))
 
 
+def scores(models: list[Ensemble], features: Column) -> Column:
+    """The models' predictions of a column of feature arrays as one array, by Arrow batches."""
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, 0))
+            yield pd.Series(list(np.stack([m.predict(x) for m in models], axis=1)) if len(v) else [], dtype=object)
+    return score(features)
+
+
+def predict(df: DataFrame, models: dict[str, Ensemble], features: str = "features") -> DataFrame:
+    """A column per model, all from one pass over the feature vectors."""
+    vectors = isinstance(df.schema[features].dataType, VectorUDT)
+    out = df.withColumn("_scores", scores(list(models.values()), vector_to_array(features) if vectors else F.col(features)))
+    return out.withColumns({name: F.get("_scores", F.lit(i)) for i, name in enumerate(models)}).drop("_scores")
+
+
 def build(base: float, rate: float, trees: list[dict]) -> Ensemble:
     """From trees of arrays whose children are positions within the tree."""
     sizes = [len(t["feature"]) for t in trees]

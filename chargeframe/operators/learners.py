@@ -1,4 +1,4 @@
-"""Point models with Spark ML: forest, boosted trees, stacking, search.
+"""Point models: boosted trees over histograms; forest, stacking and search with Spark ML.
 
 Only rows of parameters and metrics pass through the driver. The loops over
 learners, folds, trials and arms submit independent Spark jobs from a few
@@ -9,23 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chargeframe.functions.hashing import hash_fold, seeded_hash
+from chargeframe.operators import boosting, ensemble
 from chargeframe.operators.aggregates import metric_columns
 from chargeframe.operators.ordering import global_row_number
 from chargeframe.runtime import durable, durable_spread, shared_dir
 from chargeframe.schemas import TARGET
 
 # Settings of the learners.
-BASELINE = {"maxIter": 1200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"}
+BASELINE = boosting.Settings(rounds=1200, rate=0.05, depth=8, min_rows=1, l2=1.0, rows=0.85, columns=0.85, patience=60)
+#: The three boosted base learners as settings of ``boosting``; the last grows best-first to its leaf limit.
+BASE_SETTINGS = {
+    "fine": boosting.Settings(rounds=600, rate=0.02, depth=7, min_rows=1, l2=1.0, rows=0.85, columns=0.85),
+    "deep": boosting.Settings(rounds=800, rate=0.03, depth=8, min_rows=1, l2=4.0),
+    "leafy": boosting.Settings(rounds=100, rate=0.0183, leaves=79, min_rows=20, l1=0.0098, l2=1.14e-6, rows=0.938, columns=0.964),
+}
 FOREST = {"numTrees": 400, "maxDepth": 10, "minInstancesPerNode": 2}
 BOOSTED = {
     "fine": {"maxIter": 600, "maxDepth": 7, "stepSize": 0.02, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"},
@@ -58,29 +66,49 @@ def _gbt(settings: dict, label: str, features: str, prediction: str, seed: int)
                         checkpointInterval=10, **settings)
 
 
-def fit_baseline(train: DataFrame, val: DataFrame, label: str = TARGET, features: str = "features",
-                 seed: int = 42, **params):
-    """Boosted trees that stop when the validation error no longer falls."""
-    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
-    est = _gbt({**BASELINE, **params}, label, features, "prediction", seed)
-    return est.setValidationIndicatorCol("_val").fit(durable_spread(both.select(label, features, "_val"), label))
+@dataclass
+class BoostedModel:
+    """An ensemble and the errors of its rows after each round."""
 
+    model: ensemble.Ensemble
+    history: list
+    features: str = "features"
 
-def training_curve(model, train: DataFrame, val: DataFrame, label: str = TARGET) -> DataFrame:
-    """Train and validation RMSE, MAE and R² per round.
+    @property
+    def rounds(self) -> int:
+        return self.model.rounds
 
-    One row per round; the errors come from one pass per loss and table.
-    """
-    def errors(df: DataFrame) -> list[tuple[float, float, float]]:
-        mse = model.evaluateEachIteration(df, loss="squared")
-        mae = model.evaluateEachIteration(df, loss="absolute")
-        var = df.agg(F.var_pop(label)).first()[0]
-        return [(m ** 0.5, a, 1.0 - m / var if var else float("nan")) for m, a in zip(mse, mae)]
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        return self.model.transform(df, self.features, out)
+
+
+def fit_in_step(train: DataFrame, val: DataFrame | None, settings: list[boosting.Settings], label: str = TARGET,
+                features: str = "features") -> list[BoostedModel]:
+    """Boosted models with these settings from common passes over the rows."""
+    rows = train.select(label, features, F.lit(False).alias("_val"))
+    if val is not None:
+        rows = rows.unionByName(val.select(label, features, F.lit(True).alias("_val")))
+    return [BoostedModel(f.model, f.history, features) for f in boosting.fit(rows, settings, label, features)]
+
+
+def fit_baseline(train: DataFrame, val: DataFrame, label: str = TARGET, features: str = "features", seed: int = 42,
+                 **params) -> BoostedModel:
+    """Boosted trees that stop after a number of rounds without a smaller validation error."""
+    return fit_in_step(train, val, [replace(BASELINE, seed=seed, **params)], label, features)[0]
+
+
+def training_curve(spark: SparkSession, model: BoostedModel) -> DataFrame:
+    """Train and validation RMSE, MAE and R² per round, as noted by the fit itself; one row per round."""
+    def errors(sums: np.ndarray) -> list[float]:
+        n, absolute, squares, _, total, total_squares = map(float, sums)
+        if not n:
+            return [float("nan")] * 3
+        spread = total_squares - total * total / n
+        return [(squares / n) ** 0.5, absolute / n, 1 - squares / spread if spread else float("nan")]
 
-    rows = [(i, *t, *v) for i, (t, v) in enumerate(zip(errors(train), errors(val)))]
     names = ["train_rmse", "train_mae", "train_r2", "val_rmse", "val_mae", "val_r2"]
     schema = T.StructType([T.StructField("iteration", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in names])
-    return train.sparkSession.createDataFrame([(i, *map(float, r)) for i, *r in rows], schema)
+    return spark.createDataFrame([(i, *errors(h[0]), *errors(h[1])) for i, h in enumerate(model.history[1:])], schema)
 
 
 def fit_forest(df: DataFrame, label: str = TARGET, features: str = "features", prediction: str = "prediction",

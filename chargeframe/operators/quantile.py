@@ -1,128 +1,74 @@
 """Boosted quantile models.
 
-Each round fits one tree to the sign of the pinball gradient, then replaces
-the leaf values by the α-quantile of the residuals in the leaf (gradient
-boosting with line search per leaf, Friedman 2001). The quantiles per leaf
-are mergeable sketches, so a leaf of any size is combined before the shuffle.
+Trees are fitted to the gradient of the pinball loss; the leaf values are the α-quantiles of the residuals in the
+leaves (gradient boosting with line search per leaf, Friedman 2001). The levels are fitted in step: one
+pass over the rows serves all of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chargeframe.operators.aggregates import pinball
-from chargeframe.operators.learners import parallel
-from chargeframe.runtime import durable, durable_spread
+from chargeframe.operators import boosting, ensemble
+from chargeframe.operators.boosting import Settings
 from chargeframe.schemas import TARGET
 
 # Fixed values.
 ALPHAS = (0.05, 0.50, 0.95)
 ROUNDS, RATE, PATIENCE = 1500, 0.03, 100
 
-#: Relative rank error of a leaf quantile is 1/ACCURACY.
-ACCURACY = 10_000
-
 
 def column_name(alpha: float) -> str:
     return "pred_median" if alpha == 0.5 else f"pred_{round(alpha * 100):02d}"
 
 
-def _leaf_sum(leaves: list[list[float]], rate: float) -> str:
-    terms = [f"array({', '.join(f'{v!r}D' for v in values)})[cast(_leaf_{i} AS INT)]" for i, values in enumerate(leaves)]
-    return f"{rate!r}D * ({' + '.join(terms)})" if terms else "0D"
-
-
 @dataclass
 class QuantileModel:
-    """Start value plus the leaf values of a sequence of trees."""
+    """The ensemble of one level."""
 
     alpha: float
-    base: float
-    rate: float
+    model: ensemble.Ensemble
     features: str = "features"
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
-    leaves: list[list[float]] = field(default_factory=list)
+
+    @property
+    def rounds(self) -> int:
+        return self.model.rounds
 
     def transform(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        names = [f"_leaf_{i}" for i in range(len(self.trees))]
-        for name, tree in zip(names, self.trees):
-            df = tree.copy().setPredictionCol("").setLeafCol(name).transform(df)
-        value = F.lit(self.base) + F.expr(_leaf_sum(self.leaves, self.rate))
-        return df.withColumn(out or column_name(self.alpha), value).drop(*names)
+        return self.model.transform(df, self.features, out or column_name(self.alpha))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(i, self.leaves[i]) for i in range(len(self.trees))]
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree_{i}")
-        spark.createDataFrame(rows, "i int, leaves array<double>").write.mode("overwrite").parquet(f"{path}/leaves")
-        spark.createDataFrame([(self.alpha, self.base, self.rate, self.features)],
-                              "alpha double, base double, rate double, features string").write.mode(
-            "overwrite").parquet(f"{path}/settings")
+        """One table of nodes."""
+        table = self.model.table(spark, self.features).withColumn("alpha", F.lit(self.alpha))
+        table.write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> QuantileModel:
-        settings = spark.read.parquet(f"{path}/settings").first()
-        leaves = [r["leaves"] for r in spark.read.parquet(f"{path}/leaves").orderBy("i").collect()]
-        trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(len(leaves))]
-        return QuantileModel(settings["alpha"], settings["base"], settings["rate"], settings["features"], trees, leaves)
+        table = spark.read.parquet(path)
+        row = table.select("alpha", "kind").first()
+        return QuantileModel(row["alpha"], ensemble.Ensemble.of(table), row["kind"])
 
 
-def fit_quantile(data: DataFrame, alpha: float, label: str = TARGET, features: str = "features",
-                 rounds: int = ROUNDS, depth: int = 6, rate: float = RATE, patience: int = PATIENCE,
-                 min_leaf: int = 20, seed: int = 42, cut_every: int = 8) -> QuantileModel:
-    """Fit on rows with ``_val`` false, stop on the loss of rows with ``_val`` true.
+def fit_quantiles(train: DataFrame, val: DataFrame, alphas: tuple[float, ...] = ALPHAS, label: str = TARGET,
+                  features: str = "features", rounds: int = ROUNDS, depth: int | None = 6, rate: float = RATE,
+                  patience: int = PATIENCE, min_leaf: int = 20, seed: int = 42, **more) -> dict[float, QuantileModel]:
+    """One model per level; each keeps the rounds up to its smallest validation loss.
 
-    Only the leaf values, at most 2^depth per round, come to the driver.
+    ``more`` takes the other settings of ``boosting.Settings``: leaf limit, penalties, shares of rows and columns.
     """
-    train = ~F.col("_val")
-    base = float(data.filter(train).agg(F.percentile_approx(label, alpha, ACCURACY)).first()[0])
-    model = QuantileModel(alpha, base, rate, features)
-    now = data.withColumn("_f", F.lit(base))
-    best, best_rounds = float("inf"), 0
-    for r in range(rounds):
-        signed = now.withColumn("_g", F.when(F.col(label) > F.col("_f"), alpha).otherwise(alpha - 1.0))
-        est = DecisionTreeRegressor(labelCol="_g", featuresCol=features, maxDepth=depth, minInstancesPerNode=min_leaf,
-                                    seed=seed + r)
-        tree = est.fit(signed.filter(train).select(features, "_g"))
-        placed = tree.copy().setPredictionCol("").setLeafCol("_leaf_0").transform(now)
-        found = (placed.filter(train).groupBy("_leaf_0")
-                 .agg(F.percentile_approx(F.col(label) - F.col("_f"), alpha, ACCURACY).alias("v")).collect())
-        values = {int(row["_leaf_0"]): float(row["v"]) for row in found}
-        leaves = [values.get(i, 0.0) for i in range((tree.numNodes + 1) // 2)]
-        model.trees.append(tree)
-        model.leaves.append(leaves)
-        now = placed.withColumn("_f", F.col("_f") + F.expr(_leaf_sum([leaves], rate))).drop("_leaf_0")
-        if (r + 1) % cut_every == 0 and r + 1 < rounds:
-            now = durable(now)
-        loss = pinball(now.filter("_val"), label, "_f", alpha).first()["pinball"]
-        if loss is None:
-            best_rounds = r + 1
-        elif loss < best:
-            best, best_rounds = loss, r + 1
-        elif r + 1 - best_rounds >= patience:
-            break
-    model.trees, model.leaves = model.trees[:best_rounds], model.leaves[:best_rounds]
-    return model
-
-
-def fit_quantiles(train: DataFrame, val: DataFrame, alphas: tuple[float, ...] = ALPHAS, label: str = TARGET,
-                  features: str = "features", **params) -> dict[float, QuantileModel]:
-    """One model per level over one shared table."""
     cols = [label, features]
     both = train.select(*cols, F.lit(False).alias("_val")).unionByName(val.select(*cols, F.lit(True).alias("_val")))
-    data = durable_spread(both, label)
-    return dict(zip(alphas, parallel([lambda a=a: fit_quantile(data, a, label, features, **params) for a in alphas])))
+    settings = [Settings(rounds, rate, depth=depth, min_rows=min_leaf, patience=patience, alpha=a, seed=seed, **more) for a in alphas]
+    return {a: QuantileModel(a, f.model, features) for a, f in zip(alphas, boosting.fit(both, settings, label, features))}
 
 
 def predict_quantiles(models: dict[float, QuantileModel], df: DataFrame) -> DataFrame:
-    """One column per level; crossing predictions are put in order."""
+    """One column per level, from one pass; crossing predictions are put in order."""
     levels = sorted(models)
-    for a in levels:
-        df = models[a].transform(df)
     names = [column_name(a) for a in levels]
+    df = ensemble.predict(df, {n: models[a].model for n, a in zip(names, levels)}, models[levels[0]].features)
     return df.withColumn("_q", F.array_sort(F.array(*names))).withColumns(
         {name: F.get("_q", F.lit(i)) for i, name in enumerate(names)}).drop("_q")

@@ -55,7 +55,7 @@ def test_early_stop_keeps_the_best_round(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(size=(600, 2))], "x double, y double")
     train, val = learners.assemble(df, ["x"]).randomSplit([0.5, 0.5], seed=1)
     m = quantile.fit_quantiles(train, val, (0.5,), "y", rounds=12, depth=5, rate=0.9, patience=2, min_leaf=1)[0.5]
-    assert len(m.trees) == len(m.leaves) < 12
+    assert m.rounds < 12
 
 
 def test_forecast_table(table, model):
@@ -90,17 +90,17 @@ def test_stack_does_not_learn_from_its_own_rows(table):
     assert r2["in_sample"] > r2["oof"]
 
 
-def test_curve_and_importance(table):
+def test_curve_and_importance(spark, table):
     parts = P.split_parts(learners.assemble(table, feature_set("honest")))
-    m = learners.fit_baseline(parts["train"], parts["val"], maxIter=6, maxDepth=3, stepSize=0.3)
-    curve = learners.training_curve(m, parts["train"], parts["val"]).orderBy("iteration").collect()
-    assert len(curve) == m.getNumTrees and curve[-1]["train_rmse"] < curve[0]["train_rmse"]
+    m = learners.fit_baseline(parts["train"], parts["val"], rounds=6, depth=3, rate=0.3)
+    curve = learners.training_curve(spark, m).orderBy("iteration").collect()
+    assert len(curve) == m.rounds == 6 and curve[-1]["train_rmse"] < curve[0]["train_rmse"]
     end = aggregates.regression_metrics(m.transform(parts["train"]), TARGET, "prediction").first()
     assert curve[-1]["train_rmse"] == pytest.approx(end["rmse"]) and curve[-1]["train_r2"] == pytest.approx(end["r2"])
     feats = feature_set("honest")
     imp = learners.permutation_importance(lambda df: m.transform(learners.assemble(df, feats)), table, feats, TARGET, "sessionID").collect()
     assert imp[0]["feature"] == "parsed_kWhRequested" and len(imp) == len(feats)
-    used = {feats[i] for i, v in enumerate(m.featureImportances.toArray()) if v}
+    used = {feats[i] for i in m.model.feature if i >= 0}
     assert all(r["mae_increase"] == pytest.approx(0, abs=1e-9) for r in imp if r["feature"] not in used)
 
 
