@@ -8,11 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chargeframe.operators import aggregates
+from chargeframe.operators import aggregates, attribution
 from chargeframe.operators.cleaning import SERVING_DEFAULTS, fill_defaults
 from chargeframe.operators.encoding import full_encoding
 from chargeframe.operators.joins import apply_encoding
-from chargeframe.operators.learners import assemble, fit_stack, permutation_importance, predict_stack
+from chargeframe.operators.learners import assemble, fit_stack, predict_stack
 from chargeframe.operators.quantile import ALPHAS, QuantileModel, column_name, fit_quantiles, predict_quantiles
 from chargeframe.plans.prepare import ENCODED, add_features
 from chargeframe.runtime import union_all
@@ -123,9 +123,6 @@ def ablate(table: DataFrame, by_arm: dict[str, list[str]], key: str = "sessionID
     return union_all(*rows)
 
 
-def influence(model: Forecaster, rows: DataFrame, key: str = "sessionID", seed: int = 42) -> DataFrame:
-    """Permutation importance of the median model over all given rows."""
-    median = model.quantiles[0.5]
-    return permutation_importance(
-        lambda df: median.transform(assemble(df, model.features), "prediction"),
-        rows, model.features, TARGET, key, seed=seed)
+def influence(model: Forecaster, rows: DataFrame) -> DataFrame:
+    """Contributions of the features to the median of all given rows."""
+    return attribution.influence(assemble(rows, model.features), model.quantiles[0.5].model, model.features)

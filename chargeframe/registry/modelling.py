@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from chargeframe import adapters
-from chargeframe.operators import aggregates, ensemble, learners, quantile
+from chargeframe.operators import aggregates, attribution, ensemble, learners, quantile
 from chargeframe.plans import forecast as P
 from chargeframe.plans.prepare import training_table
 from chargeframe.registry.book import Book
@@ -142,13 +142,10 @@ def feature_ablation(spark, sf):
 
 @B.query("feature_influence")
 def feature_influence(spark, sf):
-    table = _table(spark, sf)
-    features = feature_set("honest")
-    parts = P.split_parts(learners.assemble(table, features))
+    """Contributions of each feature to the median of every test row."""
+    parts, features = _parts(spark, sf), feature_set("honest")
     median = quantile.fit_quantiles(parts["train"], parts["val"], (0.5,), **QUICK_QUANTILE)[0.5]
-    return learners.permutation_importance(
-        lambda df: median.transform(learners.assemble(df, features), "prediction"),
-        table.filter("split = 'test'"), features, TARGET, "sessionID")
+    return attribution.influence(parts["test"], median.model, features).select("feature", _r("mean_size"), _r("mean_contribution"))
 
 
 _TABLE_ROWS = with_ctes("""
