@@ -55,22 +55,39 @@ def _r(c, n=6):
     return F.round(c, n).alias(c)
 
 
-@B.query("feature_matrix", with_ctes("""
-SELECT count(*) AS n_rows, 25 AS n_features, round(sum("parsed_kWhRequested"), 3) AS sum_requested,
-  sum(urgency_score)::DOUBLE AS sum_urgency
-FROM sessions WHERE "kWhDelivered" IS NOT NULL AND "parsed_minutesAvailable" IS NOT NULL
-  AND "parsed_kWhRequested" <> 0 AND grid_impact_proxy IN ('low', 'medium', 'high')""", SESSIONS))
+#: The row features in the order of the vector, as SQL over the sessions; the two target encodings have queries of their own.
+_ROW_FEATURES = {
+    "parsed_milesRequested": '"parsed_milesRequested"', "parsed_WhPerMile": '"parsed_WhPerMile"',
+    "parsed_minutesAvailable": '"parsed_minutesAvailable"', "parsed_kWhRequested": '"parsed_kWhRequested"',
+    "revisionCount": '"revisionCount"', "hour": 'hour("connectionTime")', "day_of_week_encoded": 'isodow("connectionTime") - 1',
+    "is_weekend": '(isodow("connectionTime") >= 6)::INT', "is_peak": '(hour("connectionTime") BETWEEN 17 AND 21)::INT',
+    "urgency_score": "urgency_score", "flexibility_index": "flexibility_index", "habit_stability": "habit_stability",
+    "grid_impact_proxy": "grid", "urgency_flex_interaction": "urgency_score * flexibility_index",
+    "revision_urgency": '"revisionCount" * urgency_score', "habit_grid": "habit_stability * grid",
+    "energy_per_minute": '"parsed_kWhRequested" / ("parsed_minutesAvailable" + 1e-5)',
+    "request_efficiency": '"parsed_milesRequested" / ("parsed_WhPerMile" + 1e-5)',
+    "duration_hours": """date_diff('microsecond', "connectionTime", "disconnectTime") / 3.6e9""",
+    "charging_efficiency": '"kWhDelivered" / "parsed_kWhRequested"', "requested_gap": '"parsed_kWhRequested" - "kWhDelivered"',
+    "hour_sin": 'sin(2 * pi() * hour("connectionTime") / 24)', "hour_cos": 'cos(2 * pi() * hour("connectionTime") / 24)',
+}
+
+
+@B.query("feature_matrix", with_ctes("SELECT " + ", ".join(
+    f'round(sum(({sql})::DOUBLE), 2) + 0e0 AS "{name}", round(sum(({sql})::DOUBLE ** 2), 2) + 0e0 AS "{name}_squares"'
+    for name, sql in _ROW_FEATURES.items()) + ", count(*) AS n_rows FROM known", SESSIONS, """
+known AS (
+  SELECT *, CASE grid_impact_proxy WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS grid FROM sessions
+  WHERE "kWhDelivered" IS NOT NULL AND "parsed_minutesAvailable" IS NOT NULL
+    AND "parsed_kWhRequested" <> 0 AND grid_impact_proxy IN ('low', 'medium', 'high'))"""))
 def feature_matrix(spark, sf):
-    """All 25 features as vectors, read back from the vectors."""
+    """Sums and sums of squares of the row features, read back from the vectors of all 25 features by position."""
     from pyspark.ml.functions import vector_to_array
 
     names = feature_set("leaky")
-    v = learners.assemble(training_table(_sessions(spark, sf)), names).select(
-        vector_to_array("features").alias("v"))
-    at = {n: F.get("v", F.lit(i)) for i, n in enumerate(names)}
-    return v.agg(F.count("*").alias("n_rows"), F.max(F.size("v")).alias("n_features"),
-                 F.round(F.sum(at["parsed_kWhRequested"]), 3).alias("sum_requested"),
-                 F.sum(at["urgency_score"]).alias("sum_urgency"))
+    v = learners.assemble(training_table(_sessions(spark, sf)), names).select(vector_to_array("features").alias("v"))
+    sums = [F.round(F.sum(at ** power), 2).alias(name + end) for name in _ROW_FEATURES
+            for at in [F.get("v", F.lit(names.index(name)))] for power, end in ((1, ""), (2, "_squares"))]
+    return v.agg(F.count("*").alias("n_rows"), *sums)
 
 
 @B.query("boosted_baseline")
