@@ -53,7 +53,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-_BASE_DDL = "uid long, doc_id long, n_shingles long, digest binary, u array<long>, v array<long>, sketch binary"
+_BASE_DDL = "uid long, doc_id long, n_shingles long, digest binary, u array<long>, v array<long>, sketch binary, mark long"
 
 
 def _lists(arrays: list) -> pa.Array:
@@ -67,8 +67,8 @@ def _scan(size: int, rows: int, tables: int):
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                out: tuple[list, ...] = tuple([] for _ in range(7))
-                for doc_id, shingles in zip(part.column(0).to_pylist(), shingle_sets(_bytes(part.column(1)), size)):
+                out: tuple[list, ...] = tuple([] for _ in range(8))
+                for doc_id, mark, shingles in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(_bytes(part.column(1)), size)):
                     row, digest = base + n_rows, _digest(shingles)
                     n_rows += 1
                     uid, u, v, sketch = known.get(digest), None, None, None
@@ -81,12 +81,12 @@ def _scan(size: int, rows: int, tables: int):
                             values = hasher.values(shingles)
                             keys = hasher.keys(values)
                             u, v, sketch = keys[:tables], keys[tables:], hasher.sketch(values).tobytes()
-                    for column, value in zip(out, (uid, doc_id, len(shingles), digest, u, v, sketch)):
+                    for column, value in zip(out, (uid, doc_id, len(shingles), digest, u, v, sketch, mark)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                    pa.array(out[3], pa.binary()), _lists(out[4]), _lists(out[5]), pa.array(out[6], pa.binary())],
-                    ["uid", "doc_id", "n_shingles", "digest", "u", "v", "sketch"])
+                    pa.array(out[3], pa.binary()), _lists(out[4]), _lists(out[5]), pa.array(out[6], pa.binary()),
+                    pa.array(out[7], pa.int64())], ["uid", "doc_id", "n_shingles", "digest", "u", "v", "sketch", "mark"])
     return run
 
 
@@ -263,18 +263,21 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows
     empty result; other columns are ignored.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # rows that share an id, null for one, are told apart by a hash of their text
+    narrow = narrow.withColumn("mark", F.xxhash64("text"))
     base = materialize(narrow.mapInArrow(_scan(shingle, rows, tables), _BASE_DDL), "shingled")
     filled = base.filter("n_shingles > 0")
     firsts = filled.filter(F.col("u").isNotNull())
     per_set = filled.groupBy("digest").agg(F.min("uid").alias("rid"), F.min("doc_id").alias("low"))
-    owner = materialize(firsts.select("uid", "digest", "doc_id").join(per_set, "digest"), "set-owners")
+    owner = materialize(firsts.select("uid", "digest", "doc_id", "mark").join(per_set, "digest"), "set-owners")
     heads = owner.filter("uid = rid")
     reps = materialize(firsts.select(F.col("uid").alias("rid"), "n_shingles", "u", "v", "sketch").join(heads.select("rid"), "rid"), "distinct-sets")
     keys = reps.select("rid", F.explode("u").alias("u"))
     shared = keys.groupBy("u").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).filter("n > 1").select("u", "pivot")
     members = materialize(keys.join(shared, "u"), "shared-keys")
-    wanted = heads.join(members.select("rid").distinct(), "rid").select("rid", "digest", "doc_id")
-    texts = narrow.join(small_side(wanted), narrow["doc_id"].eqNullSafe(wanted["doc_id"])).select("rid", "digest", "text")
+    wanted = heads.join(members.select("rid").distinct(), "rid").select("rid", "digest", "doc_id", "mark")
+    texts = narrow.join(small_side(wanted.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
+    texts = texts.select("rid", "digest", "text")
     sets = materialize(texts.mapInArrow(_sets(shingle), "rid long, shingles binary, prints binary").dropDuplicates(["rid"]), "full-sets")
     labels = _Search(reps, members, sets, percent, share, block, split).labels()
     found = owner.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(

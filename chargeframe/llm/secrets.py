@@ -121,7 +121,7 @@ def _found(docs: DataFrame, ratios: list[float], threshold: float, text: str) ->
 
     random = _spans(whole, TOKEN, 3, is_random)
     out = docs.withColumn("__base", base).withColumn("__random", random)
-    more = F.filter("__random", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.filter("__random", lambda s: ~F.exists("__base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return out.withColumn("__spans", F.array_sort(F.concat("__base", more))).drop("__random")
 
 

@@ -99,3 +99,23 @@ def test_kept_rows(spark, docs):
     # null ids are one document: both texts stay, though one is also document 1
     want = [r for r in ROWS if r[0] in (1, 3, 5, 6, 7, 8, 9, 11, 12)] + [(None, ROWS[0][1]), (None, None)]
     assert [r for r in got if r[0] is not None] == sorted((r for r in want if r[0] is not None), key=str)
+
+
+def test_rows_without_ids_meet_their_own_texts_only(spark, monkeypatch):
+    """Many different texts share the null id: each is read for its own set, not for those of all others."""
+    rows = [(None, f"text {i // 2} has these words and {i // 2 * 7} more of them" + " again" * (i % 2)) for i in range(600)]
+    read, sets = spark.sparkContext.accumulator(0), neardup._sets
+
+    def counted(size):
+        run = sets(size)
+
+        def each(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield from run([batch])
+        return each
+
+    monkeypatch.setattr(neardup, "_sets", counted)
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 600 and got.filter("component_id is not null or not kept").isEmpty()
+    assert 0 < read.value <= 600

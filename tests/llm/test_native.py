@@ -43,6 +43,16 @@ def test_redaction_removes_every_secret(spark, docs):
     assert all(not brute.base_secrets(r["text"] or "") for r in out.values())
 
 
+def test_tokens_around_a_pattern_are_found_whole(spark):
+    """A random token with a long hexadecimal run inside is redacted to its last character."""
+    token = "Zk9QwX2mLr7TbV4yHs1NdC8" + "0123456789abcdef0123456789abcdef" + "PfJ6uGe3RoK5xWq0ZtYv2Bi"
+    rows = spark.createDataFrame([(1, f"use {token} now")], "doc_id long, text string")
+    ratios = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    spans = secrets.find(rows, ratios).first()["spans"]
+    assert spans == f"markov:4:{4 + len(token)},hex:26:59"
+    assert secrets.redact(rows, ratios).first()["text"] == "use [secret] now"
+
+
 def test_models_tell_random_from_ordinary(spark):
     ratios = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
 
