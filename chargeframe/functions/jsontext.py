@@ -85,6 +85,23 @@ def reply_row(payload="payload") -> Column:
     return F.when(F.size(rows) == 1, F.get(rows, F.lit(0)))
 
 
+def reply_values(reply: str) -> tuple[Column, dict[str, Column]]:
+    """Whether a string map ``reply`` has all fields, by their names or short names, and their typed values."""
+    present, values = F.col(reply).isNotNull(), {}
+    for field in REPLY_FIELDS:
+        names = list(dict.fromkeys([field, _short_name(field)]))
+        has = F.lit(False)
+        value = F.lit(None).cast("string")
+        for name in reversed(names):
+            here = F.map_contains_key(reply, F.lit(name))
+            value = F.when(here, F.try_element_at(reply, F.lit(name))).otherwise(value)
+            has = has | here
+        present = present & has
+        values[field] = (value if field == "grid_impact_proxy"
+                         else value.try_cast("double").cast("int" if field == "urgency_score" else "double"))
+    return present, values
+
+
 def merge_augmented(sessions: DataFrame, replies: DataFrame, key: str = "sessionID",
                     payload: str = "payload", order: str | None = None) -> DataFrame:
     """Behaviour columns from the replies; the rules when a reply lacks any.
@@ -97,21 +114,8 @@ def merge_augmented(sessions: DataFrame, replies: DataFrame, key: str = "session
     newest = read.groupBy(key).agg(F.max_by("_reply", F.struct(F.col("_reply").isNotNull(), "_order")).alias("_reply"))
     joined = sessions.drop(*REPLY_FIELDS).join(newest, key, "left")
 
-    present, values = F.col("_reply").isNotNull(), {}
-    for field in REPLY_FIELDS:
-        names = list(dict.fromkeys([field, _short_name(field)]))
-        has = F.lit(False)
-        value = F.lit(None).cast("string")
-        for name in reversed(names):
-            here = F.map_contains_key("_reply", F.lit(name))
-            value = F.when(here, F.try_element_at("_reply", F.lit(name))).otherwise(value)
-            has = has | here
-        present, values[field] = present & has, value
+    present, values = reply_values("_reply")
     rules = behavior_rules()
     typed = joined.withColumn("used_rules", ~F.coalesce(present, F.lit(False)))
     return typed.withColumns({
-        field: F.when(F.col("used_rules"), rules[field]).otherwise(
-            values[field] if field == "grid_impact_proxy"
-            else values[field].try_cast("double").cast("int" if field == "urgency_score" else "double"))
-        for field in REPLY_FIELDS
-    }).drop("_reply")
+        field: F.when(F.col("used_rules"), rules[field]).otherwise(values[field]) for field in REPLY_FIELDS}).drop("_reply")

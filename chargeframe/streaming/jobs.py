@@ -27,10 +27,24 @@ def session_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: st
     return reader.load(path)
 
 
-def run_available(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Process what has arrived since the last run, then stop."""
-    query = (df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-             .option("path", out).trigger(availableNow=True).start())
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_available(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet", idle_batches: bool = True) -> StreamingQuery:
+    """Process what has arrived since the last run, then stop.
+
+    Without ``idle_batches`` no batch runs on timers alone: a state with timers asks for
+    another batch after each, so the run would not stop.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(IDLE_BATCHES)
+    try:
+        if not idle_batches:
+            spark.conf.set(IDLE_BATCHES, "false")
+        query = (df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
+                 .option("path", out).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
     query.awaitTermination()
     return query
 
