@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from chargeframe import adapters
 from chargeframe.plans import forecast as P
+from chargeframe.registry import features
 from chargeframe.registry.book import Book, table
 from chargeframe.registry.modelling import QUICK, _table
 from chargeframe.registry.sql import BASE, SESSIONS, with_ctes
 from chargeframe.runtime import scratch_path
-from chargeframe.streaming import jobs
+from chargeframe.streaming import jobs, replies
 
 B = Book()
 QUERIES, ORACLE = B.queries, B.oracle
@@ -36,6 +37,22 @@ def incremental_augment(spark, sf):
         F.round("habit_stability", 9).alias("habit_stability"), "grid_impact_proxy")
 
 
+@B.query("incremental_replies", features.ORACLE["merge_augmented"])
+def incremental_replies(spark, sf):
+    """Sessions first with a part of the replies, then the other replies, after their timers ran out."""
+    sessions = adapters.sessions(spark, sf)
+    answers = adapters.retried(adapters.replies(sessions))
+    inbox, out, progress = (scratch_path(spark, n) for n in ("replies", "versions", "replies-progress"))
+    early = F.pmod(F.xxhash64("sessionID", "attempt"), F.lit(2)) == 0
+    for part in (early, ~early):
+        answers.filter(part).write.mode("append").parquet(inbox)
+        arriving = adapters.base_sessions(_events_stream(spark, sf))
+        replies.stream_augment_replies(arriving, jobs.session_stream(spark, inbox, answers.schema), out, progress, patience_ms=1)
+    merged = replies.augmented(sessions, spark.read.parquet(out))
+    return merged.select("sessionID", "used_rules", "urgency_score", F.round("flexibility_index", 9).alias("flexibility_index"),
+                         F.round("habit_stability", 9).alias("habit_stability"), "grid_impact_proxy")
+
+
 @B.query("stream_score", with_ctes("SELECT count(*) AS n_rows, 0 AS n_different FROM base", BASE))
 def stream_score(spark, sf):
     """Rows whose streamed forecast differs from the batch forecast."""
