@@ -20,8 +20,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts."""
-    return keep_rows(docs, neardup.groups(docs))
+    """One document of each group of texts that share 0.8 of their five-word shingles."""
+    return keep_rows(docs, neardup.groups(docs, shingle=5))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def test_pipeline_against_plain_steps(spark):
             and fertility._judge(t, meter, fertility.BANDS)[6]]
     kept = {g[0] for g in brute.exact_groups(rows) if g[3]}
     rows = [r for r in rows if r[0] in kept]
-    component = brute.near_components(rows)
+    component = brute.near_components(rows, 5)
     rows = [r for r in rows if component[r[0]][1] == r[0]]
     clean = []
     for i, t in rows:
