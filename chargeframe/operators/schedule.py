@@ -368,7 +368,8 @@ def _laxity_fill(classes: pd.DataFrame, params: ScheduleParams) -> tuple[np.ndar
 
     Slot by slot, cheap slots first, what no later turn can give is given; the rest of the limit goes
     to the classes with the least slack first. ``classes`` has n, need, start_slot, low_kw, and asked, the
-    mean of the true needs, which are at most ``need``.
+    mean of the true needs, which are at most ``need``. Where no plan meets the needs the limit holds all
+    the same, and energy is left over.
     """
     T, budget = params.slots, params.grid_kw * params.hours
     n, need = classes["n"].to_numpy(float), classes["need"].to_numpy(float)
@@ -386,8 +387,11 @@ def _laxity_fill(classes: pd.DataFrame, params: ScheduleParams) -> tuple[np.ndar
     given, left, met = np.zeros_like(room), need.copy(), True
     for t in range(T):
         must = np.clip(left - later[:, t], 0.0, room[:, t])
-        free = budget - (n * must).sum()
+        due = (n * must).sum()
+        free = budget - due
         met &= free >= -1e-9
+        # what exceeds the limit is dealt in proportion and stays unserved
+        must *= min(1.0, budget / due) if due > 0 else 1.0
         more = np.minimum(room[:, t], left) - must
         order = np.argsort(later[:, t] + room[:, t] - left, kind="stable")
         wanted = (n * more)[order]
@@ -438,7 +442,8 @@ def schedule(sessions: DataFrame, params: ScheduleParams = DEFAULT, rounds: int
 
     ``status`` of a group: ``feasible`` (targets and limits hold; ``gap`` to the best dual bound
     is given), ``infeasible`` (no plan can meet the targets within the grid limit) or ``not
-    converged`` (none was found). Targets beyond what the slots of a session can give are
+    converged`` (none was found). Groups that are not feasible keep the limit too, by the plan within
+    it alone; ``unserved_kWh`` of a row and of the report is the energy that a session and a group lack. Targets beyond what the slots of a session can give are
     served up to that; the rows keep the target itself, so that an audit sees it.
     """
     T = params.slots
@@ -482,16 +487,18 @@ def schedule(sessions: DataFrame, params: ScheduleParams = DEFAULT, rounds: int
     limits = F.zip_with("load", "safe", lambda x, y: F.when(x > params.grid_kw, F.greatest(
         F.lit(0.0), F.try_divide(F.lit(params.grid_kw) - y, x - y))).otherwise(1.0))
     mix = loads.select(*GROUP, F.array_min(limits).alias("mix"))
-    share = F.when(F.col("status") == "feasible", F.col("mix")).otherwise(1.0)
+    share = F.when(F.col("status") == "feasible", F.col("mix")).otherwise(0.0)
     powers = durable(both.join(small_side(mix), GROUP).withColumn(
-        "power", F.zip_with("power", "plan", lambda x, y: share * x + (F.lit(1.0) - share) * y)).drop("plan", "mix"))
+        "power", F.zip_with("power", "plan", lambda x, y: share * x + (F.lit(1.0) - share) * y)).drop("plan", "mix").withColumn("unserved_kWh", F.when(
+            F.col("status") == "feasible", 0.0).otherwise(F.greatest(
+                F.col("served_kWh") - _total(F.col("power")) * F.lit(params.hours), F.lit(0.0)))))
     rows = powers.select("*", F.posexplode("power").alias("time_slot", "kw")).drop("power", "weight")
     rows = rows.withColumns({"kwh": F.col("kw") * F.lit(params.hours), "cap_kw": F.when(
         F.col("time_slot") >= F.col("start_slot"), F.col("low_kw")).otherwise(F.lit(params.charger_kw))})
     objective = F.col("cost") + F.array_max("load")
-    status = powers.groupBy(*GROUP).agg(F.first("status").alias("status"))
+    status = powers.groupBy(*GROUP).agg(F.first("status").alias("status"), F.sum("unserved_kWh").alias("unserved_kWh"))
     report = _group_loads(powers, params).join(state.select(*GROUP, "bound"), GROUP).join(status, GROUP).select(
         *GROUP, "status", F.array_max("load").alias("peak_kw"), objective.alias("objective"),
         F.col("bound").alias("dual_bound"), F.when(F.col("status") == "feasible", objective - F.col("bound")).alias("gap"),
-        F.greatest(F.array_max("load") - F.lit(params.grid_kw), F.lit(0.0)).alias("grid_violation_kw"))
+        F.greatest(F.array_max("load") - F.lit(params.grid_kw), F.lit(0.0)).alias("grid_violation_kw"), "unserved_kWh")
     return Schedule(rows, report)

@@ -161,9 +161,17 @@ def test_impossible_groups_are_reported(spark):
     rows = [("S0", day, f"a{i}", i, 20.0, 0.0, 480.0, 50.0, 0.5, 20.0) for i in range(20)]
     rows += [("S1", day, f"b{i}", i, 20.0, 0.0, 480.0, 50.0, 0.5, 20.0) for i in range(300)]
     rows += [("S2", day, f"c{i}", i, 30.0, 0.0, 60.0, 50.0, 0.5, 20.0) for i in range(90)]
-    got = {r["site"]: r for r in S.schedule(spark.createDataFrame(rows, SCHEMA), S.ScheduleParams(trickle_kw=0.0), rounds=2).report.collect()}
+    plan = S.schedule(spark.createDataFrame(rows, SCHEMA), S.ScheduleParams(trickle_kw=0.0), rounds=2)
+    got = {r["site"]: r for r in plan.report.collect()}
     assert {k: r["status"] for k, r in got.items()} == {"S0": "feasible", "S1": "infeasible", "S2": "infeasible"}
     assert got["S1"]["gap"] is None and got["S0"]["peak_kw"] <= 400 + 1e-6
+    # all slots give 3200 of the 5580 kWh of the second group, the first four 400 of the 990 kWh of the third
+    assert [got[k]["unserved_kWh"] for k in ("S0", "S1", "S2")] == pytest.approx([0.0, 2380.0, 590.0], rel=0.01)
+    assert all(r["peak_kw"] <= 400 + 1e-6 for r in got.values())
+    found = S.audit(plan.rows).agg(*[F.sum(c).alias(c) for c in ("grid_violations", "late_violations", "charger_violations")]).first()
+    assert tuple(found) == (0, 0, 0)
+    lack = plan.rows.groupBy("session_id").agg((F.max("served_kWh") - F.sum("kwh")).alias("left"), F.max("unserved_kWh").alias("said"))
+    assert lack.filter(F.abs(F.col("left") - F.col("said")) > 1e-6).count() == 0
 
 
 def test_early_direction_mirrors_late(spark):
