@@ -155,6 +155,39 @@ def peak_aware_audit(spark, sf):
     return _out(S.audit(S.schedule(_input(spark, sf)).rows)).drop("kwh_after_departure")
 
 
+#: A grid limit that the cheapest fill breaks in most groups of the test tables.
+TIGHT_KW = 100.0
+
+
+@B.query("peak_aware_tight_audit", with_ctes(f"""
+SELECT site, "date"::VARCHAR AS "date", over_before, infeasible_sessions, CASE WHEN impossible THEN 'infeasible' ELSE 'feasible' END AS status,
+  CASE WHEN NOT impossible THEN 0::BIGINT END AS target_violations, 0::BIGINT AS charger_violations, 0::BIGINT AS late_violations,
+  0::BIGINT AS grid_violations
+FROM (
+  SELECT site, "date", bool_or(first_due > {TIGHT_KW} * 0.25e0 * (time_slot + 1) + 1e-6
+      OR last_due > {TIGHT_KW} * 0.25e0 * (32 - time_slot) + 1e-6) AS impossible
+  FROM (SELECT site, "date", time_slot, sum(greatest(0, need - later)) AS first_due, sum(greatest(0, need - earlier)) AS last_due
+    FROM (SELECT site, "date", time_slot, greatest(0, least("target_kWh", sum(room) OVER s)) AS need,
+        coalesce(sum(room) OVER (PARTITION BY site, "date", session_id ORDER BY time_slot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later,
+        coalesce(sum(room) OVER (PARTITION BY site, "date", session_id ORDER BY time_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+      FROM (SELECT *, cap_kw * 0.25e0 AS room FROM caps) WINDOW s AS (PARTITION BY site, "date", session_id)) GROUP BY ALL) GROUP BY ALL)
+JOIN (SELECT site, "date", count(*) FILTER (load > {TIGHT_KW} + 1e-6) AS over_before FROM (
+    SELECT site, "date", time_slot, sum(kw) AS load FROM filled GROUP BY ALL) GROUP BY ALL) USING (site, "date")
+JOIN (SELECT site, "date", count(*) FILTER (target > capacity) AS infeasible_sessions FROM (
+    SELECT site, "date", session_id, max("target_kWh") AS target, sum(cap_kw * 0.25e0) AS capacity FROM caps GROUP BY ALL)
+  GROUP BY ALL) USING (site, "date")""", FILLED))
+def peak_aware_tight_audit(spark, sf):
+    """The audit under a limit that binds: slots over it before, states of the groups, and no limit broken after."""
+    params = S.ScheduleParams(grid_kw=TIGHT_KW)
+    plan = S.schedule(_input(spark, sf), params)
+    after = S.audit(plan.rows, params)
+    before = S.audit(_filled(spark, sf), params).select(*S.GROUP, F.col("grid_violations").alias("over_before"))
+    both = after.join(before, S.GROUP).join(plan.report.select(*S.GROUP, "status"), S.GROUP)
+    targets = F.when(F.col("status") == "feasible", F.col("target_violations"))
+    return _out(both.select(*S.GROUP, "over_before", "infeasible_sessions", "status", targets.alias("target_violations"),
+                            "charger_violations", "late_violations", "grid_violations"))
+
+
 @B.query("peak_aware_schedule")
 def peak_aware_schedule(spark, sf):
     """Report per group; the rows behind it are built by the same call."""
