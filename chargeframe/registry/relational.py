@@ -349,9 +349,8 @@ w AS (SELECT "true_kWh" AS y, pred_median AS p FROM pred)""", """
 wo AS (SELECT "true_kWh" AS y, pred_05 AS p FROM pred)"""))
 def ablation_summary(spark, sf):
     pred = adapters.naive_predictions(adapters.sessions(spark, sf))
-    runs = [aggregates.regression_metrics(pred, "true_kWh", p).withColumn("arm", F.lit(arm))
-            for arm, p in [("WITH", "pred_median"), ("WITHOUT", "pred_05")]]
-    return aggregates.ablation_summary(runs).select("metric", *[_r(c).alias(c) for c in ("WITH", "WITHOUT", "delta")])
+    summary = aggregates.ablation_of_predictions(pred, "true_kWh", "pred_median", "pred_05")
+    return summary.select("metric", *[_r(c).alias(c) for c in ("WITH", "WITHOUT", "delta")])
 
 
 @B.query("split_census", with_ctes("""

@@ -67,3 +67,12 @@ def test_large_paths_of_slices_and_samples(spark):
         assert ordering.sample_n(twice, "k", n, top_k_rows=0).count() == min(n, 1000)
     same = {r["k"] for r in ordering.sample_n(df, "k", 50).collect()}
     assert {r["k"] for r in ordering.sample_n(df, "k", 50, top_k_rows=0).collect()} == same
+
+
+def test_ablation_in_one_pass(spark):
+    df = spark.createDataFrame([(1.0, 1.5, 0.0), (2.0, 2.5, 4.0), (4.0, None, 3.0), (float("nan"), 1.0, 1.0)], "y double, a double, b double")
+    runs = [aggregates.regression_metrics(df, "y", p).withColumn("arm", F.lit(arm)) for arm, p in (("WITH", "a"), ("WITHOUT", "b"))]
+    want = sorted(map(tuple, aggregates.ablation_summary(runs).collect()))
+    both = aggregates.ablation_of_predictions(df, "y", "a", "b")
+    assert sorted(map(tuple, both.collect())) == want
+    assert sorted(map(tuple, aggregates.ablation_of_predictions(df.limit(0), "y", "a", "b").collect()))[0][0] == "mae"
