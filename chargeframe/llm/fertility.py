@@ -7,12 +7,18 @@ reject what falls outside; they are wide enough for clean prose of any topic and
 data, broken text and texts that say the same over and over. In scripts that neither of the first two
 vocabularies covers, noise of letters with the lengths of words cannot be told from prose. Every text
 is judged where it is read: no shuffle, no state.
+
+A batch of texts is measured at once. No token of the three vocabularies crosses a single space between
+two other characters except as the first character of the next token, so each distinct stretch between
+such spaces is encoded once, and the tokens of all texts are counted in one sort.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chargeframe.llm.shingles import windows
+from chargeframe.llm.shingles import mix, windows, word_hashes
 from chargeframe.llm.wordbpe import encoder, vocabulary_path
 
 #: A byte-level vocabulary for many languages, as ranks.
@@ -107,11 +113,55 @@ class Measures(NamedTuple):
     words_chars: float | None = None
 
 
-def _counted(ids, is_part: np.ndarray, n_chars: int) -> tuple[float, float, float, int]:
-    n, ordered = len(ids), np.sort(ids)
-    counts = np.diff(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))))
-    share = counts / n
-    return n_chars / n, float(np.count_nonzero(is_part[ids]) / n), float(-(share * np.log2(share)).sum()), n
+#: Stretches kept per Python worker, and the longest one kept.
+CACHE_STRETCHES, LONGEST_KEPT = 120_000, 48
+#: Where a text may be cut.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: What the sentencepiece vocabulary writes for a space; texts with the character itself are not cut.
+_MARK = "\u2581"
+
+
+def _stretches(text: str) -> list[str]:
+    """The parts of a text to encode on their own. The first one, which no space precedes, starts with a space to tell it apart."""
+    parts = [text] if _MARK in text else _CUT.split(text)
+    parts[0] = " " + parts[0]
+    return parts
+
+
+class _Ids:
+    """The ids of numbered stretches, one array after the other."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def truncate(self, n: int) -> None:
+        self.flat, self.ends = self.flat[:self.ends[n]], self.ends[:n + 1]
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the stretches in turn, and how many each has."""
+        begin = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - begin
+        before = np.cumsum(lengths) - lengths
+        return self.flat[np.repeat(begin - before, lengths) + np.arange(lengths.sum())], lengths
+
+
+def _counted(ids: np.ndarray, n_tokens: np.ndarray, is_part: np.ndarray, n_chars: np.ndarray) -> list[tuple]:
+    """Characters per token, share of parts, entropy and number of tokens of each text, from the ids of all in turn.
+
+    A text has at least one token, since it has characters other than white space."""
+    n, size = len(n_tokens), len(is_part)
+    text = np.repeat(np.arange(n, dtype=np.uint32 if n * size < 1 << 32 else np.uint64), n_tokens)
+    keys = np.sort(text * text.dtype.type(size) + ids)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    owner = (keys[first] // text.dtype.type(size)).astype(np.int64)
+    share = np.diff(np.append(first, len(keys))) / n_tokens[owner]
+    entropy = -np.bincount(owner, share * np.log2(share), n)
+    parts = np.add.reduceat(is_part[ids].astype(np.int64), np.cumsum(n_tokens) - n_tokens)
+    return list(zip((n_chars / n_tokens).tolist(), (parts / n_tokens).tolist(), entropy.tolist(), n_tokens.tolist()))
 
 
 class Meter:
@@ -125,20 +175,71 @@ class Meter:
         with open(path or vocabulary_path(VOCABULARY), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.vocabulary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.is_part = np.zeros(max(ranks.values()) + 1, bool)
+        self.is_part, self.token_bytes = np.zeros(max(ranks.values()) + 1, bool), np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
-            self.is_part[rank] = not _is_text(token)
+            self.is_part[rank], self.token_bytes[rank] = not _is_text(token), len(token)
         self.pieces, self.words = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(PIECES)), encoder()
         byte = {f"<0x{b:02X}>" for b in range(256) if chr(b) not in SPACES}
         self.is_byte = np.array([self.pieces.id_to_piece(i) in byte for i in range(self.pieces.get_piece_size())])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.token_ids, self.piece_ids, self.n_words = _Ids(), _Ids(), np.empty(0, np.int64)
+
+    def _learn(self, stretches: set[str]) -> int:
+        """Numbers and encodes what is not known; from the number returned on, stretches are too long to be kept."""
+        new = [s for s in stretches if s not in self.numbers]
+        if len(self.numbers) + len(new) > CACHE_STRETCHES:
+            self._clear()
+            new = list(stretches)
+        short = [s for s in new if len(s) <= LONGEST_KEPT]
+        # stretches that white space neither starts nor ends can follow each other in one text
+        ends_in_space = [s[0] == " " or s[-1].isspace() for s in short]
+        joined = [s for s, alone in zip(short, ends_in_space) if not alone]
+        alone = [s for s, alone in zip(short, ends_in_space) if alone]
+        kept = len(self.numbers) + len(short)
+        alone += [s for s in new if len(s) > LONGEST_KEPT]
+        if joined:
+            ids = np.asarray(self.vocabulary.encode_to_numpy(" " + " ".join(joined), disallowed_special=()))
+            at = np.cumsum(np.fromiter((len(s.encode()) + 1 for s in joined), np.int64, len(joined)))
+            upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), at, "right")
+            self.token_ids.add(ids, np.diff(upto, prepend=0))
+        new = joined + alone
+        found = [self.vocabulary.encode_ordinary(s[1:] if s[0] == " " else " " + s) for s in alone]
+        for vocabulary, lists in ((self.token_ids, found), (self.piece_ids, self.pieces.encode([s[s[0] == " ":] for s in new], num_threads=1))):
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            vocabulary.add(np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths)
+        self.n_words = np.concatenate([self.n_words, self.words.count_all(new)])
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        return kept
+
+    def measure_all(self, texts: list[str], n_chars: list[int]) -> list[Measures]:
+        """The measures of whole texts whose characters other than white space are ``n_chars``."""
+        some = [i for i, n in enumerate(n_chars) if n]
+        out = [Measures()] * len(texts)
+        if not some:
+            return out
+        parts = [_stretches(texts[i]) for i in some]
+        kept = self._learn(set(chain.from_iterable(parts)))
+        first = np.cumsum([0, *map(len, parts[:-1])])
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64)
+        chars, n_words = np.array([n_chars[i] for i in some]), np.add.reduceat(self.n_words[numbers], first).tolist()
+        measured = []
+        for vocabulary, is_part in ((self.token_ids, self.is_part), (self.piece_ids, self.is_byte)):
+            ids, lengths = vocabulary.of(numbers)
+            measured.append(_counted(ids, np.add.reduceat(lengths, first), is_part, chars))
+            vocabulary.truncate(kept)
+        self.n_words = self.n_words[:kept]
+        while len(self.numbers) > kept:  # the long ones were added last
+            self.numbers.popitem()
+        for i, tokens, pieces, n in zip(some, *measured, n_words):
+            out[i] = Measures(*tokens, *pieces, n_chars[i] / n if n else None)
+        return out
 
     def measure(self, text: str, n_chars: int) -> Measures:
-        """The measures of a whole text whose characters other than white space are ``n_chars``."""
-        if not n_chars:
-            return Measures()
-        n_words = self.words.count(text)
-        return Measures(*_counted(self.vocabulary.encode_to_numpy(text, disallowed_special=()), self.is_part, n_chars),
-                        *_counted(np.array(self.pieces.encode(text, num_threads=1)), self.is_byte, n_chars), n_chars / n_words if n_words else None)
+        """The measures of one text."""
+        return self.measure_all([text], [n_chars])[0]
 
 
 def _is_text(token: bytes) -> bool:
@@ -166,11 +267,44 @@ def repeated_words(words: list, size: int = WINDOW) -> int:
     return int((np.cumsum(steps[:-1]) > 0).sum())
 
 
+def repeated_words_all(words: list[np.ndarray], size: int = WINDOW) -> np.ndarray:
+    """``repeated_words`` of several texts, from the hashes of their words."""
+    n = np.array([len(w) for w in words])
+    first = np.cumsum(n) - n
+    flat = np.concatenate(words)
+    out = np.zeros(len(words), np.int64)
+    if len(flat) < size:
+        return out
+    text = np.repeat(np.arange(len(words)), n)
+    begin = np.flatnonzero(text[size - 1:] == text[:len(flat) - size + 1])
+    seen = mix(windows(flat, size)[begin] + mix(text[begin].astype(np.uint64) + np.uint64(1)))
+    ordered = np.sort(seen)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return out
+    at = np.searchsorted(twice, seen)
+    hit = begin[twice[np.minimum(at, len(twice) - 1)] == seen]
+    steps = np.bincount(hit, minlength=len(flat) + 1) - np.bincount(hit + size, minlength=len(flat) + 1)
+    covered = np.cumsum(np.cumsum(steps[:-1]) > 0)
+    upto = np.concatenate([[0], covered])
+    return upto[first + n] - upto[first]
+
+
+def _line_counts(text: str) -> tuple[int, int, int]:
+    """word_chars, n_symbols, n_dup_lines."""
+    lines = [line for line in text.split("\n") if line.strip(SPACES)]
+    return len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))
+
+
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    lines = [line for line in text.split("\n") if line.strip(SPACES)]
-    return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
-            len(lines) - len(set(lines)), repeated_words(words))
+    return (len(words), *_line_counts(text), repeated_words(words))
+
+
+def base_counts_all(texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """``base_counts`` of several texts."""
+    words = word_hashes([t.encode() for t in texts], lower=False)
+    return [(len(w), *_line_counts(t), n) for t, w, n in zip(texts, words, repeated_words_all(words).tolist())]
 
 
 def base_failed(n_words: int, n_repeat: int) -> bool:
@@ -192,13 +326,27 @@ def in_band(band: Band, chars: float | None, byte_share: float | None, entropy:
 _METERS: dict[str | None, Meter] = {}
 
 
+#: Rows and characters judged at once; a longer text is judged alone, its words one by one.
+ROWS, CHARACTERS = 512, 1 << 20
+
+
 def _judge(text: str | None, meter: Meter, bands: dict[str, Band]) -> tuple:
-    text = text or ""
-    words = text.encode().split()
-    counts = base_counts(text, words)
-    measured, name = meter.measure(text, counts[1]), script(text)
-    failed = base_failed(counts[0], counts[4])
-    return (*counts, failed, not failed and in_band(bands[name], *measured), name, *measured)
+    return _judge_all([text], meter, bands)[0]
+
+
+def _judge_all(texts: list[str | None], meter: Meter, bands: dict[str, Band]) -> list[tuple]:
+    """A row of counts, verdicts and measures for each text."""
+    rows, texts, at = [], [t or "" for t in texts], 0
+    while at < len(texts):
+        upto, size = at + 1, len(texts[at])
+        while upto < min(len(texts), at + ROWS) and size + len(texts[upto]) <= CHARACTERS:
+            size, upto = size + len(texts[upto]), upto + 1
+        part, at = texts[at:upto], upto
+        counts = base_counts_all(part) if size <= CHARACTERS else [base_counts(t, t.encode().split()) for t in part]
+        for text, count, measured in zip(part, counts, meter.measure_all(part, [c[1] for c in counts])):
+            failed, name = base_failed(count[0], count[4]), script(text)
+            rows.append((*count, failed, not failed and in_band(bands[name], *measured), name, *measured))
+    return rows
 
 
 def _meter(path: str | None) -> Meter:
@@ -229,9 +377,9 @@ def rate(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None
     def run(batches):
         meter = _meter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = list(zip(*(_judge(t, meter, bands) for t in part.column(1).to_pylist())))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = list(zip(*_judge_all(part.column(1).to_pylist(), meter, bands)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(found, _COLUMNS))],
                     ["doc_id", *(name for name, _ in _COLUMNS)])
@@ -247,8 +395,8 @@ def keep(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None
     def run(batches):
         meter = _meter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield part.filter(pa.array([_judge(t, meter, bands)[6] for t in part.column(at_column).to_pylist()], pa.bool_()))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array([row[6] for row in _judge_all(part.column(at_column).to_pylist(), meter, bands)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,14 +36,15 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return held[:n]
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the words of each UTF-8 text: runs of bytes other than ASCII white space, A-Z lower-cased."""
+def word_hashes(texts: list[bytes], lower: bool = True) -> list[np.ndarray]:
+    """Hashes of the words of each UTF-8 text: runs of bytes other than ASCII white space, with A-Z lower-cased or as they are."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     n = len(data)
     if not n:
         return []
-    data = _LOWER[data]
+    if lower:
+        data = _LOWER[data]
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = turns[::2], turns[1::2]

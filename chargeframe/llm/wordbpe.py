@@ -31,6 +31,9 @@ def _class(kind: str) -> str:
 
 #: The vocabulary's own split rule, for plain text.
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^\\s{0}{1}]+".format(_class("L"), _class("N")))
+#: Ends a text among several: white space to the split rule, and in no plain text.
+_END = "\x1f"
+_WORD_OR_END = re.compile(_WORD.pattern + "|" + _END)
 
 
 def byte_symbols() -> list[str]:
@@ -97,9 +100,19 @@ class WordEncoder:
 
     def count(self, text: str) -> int:
         """How many ids ``encode`` gives."""
-        if _OTHER.search(text):
-            return len(self.library_ids(text))
-        words, table = _WORD.findall(text.lower()), self._counts
+        return int(self.count_all([text])[0])
+
+    def count_all(self, texts: list[str]) -> np.ndarray:
+        """How many ids ``encode`` gives for each text; the words of all plain texts are split at once."""
+        out, plain = np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            if _OTHER.search(text):
+                out[i] = len(self.library_ids(text))
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        words, table = _WORD_OR_END.findall(_END.join([texts[i] for i in plain]).lower()), self._counts
         new = set(words).difference(table)
         if len(table) + len(new) > self.cache_words:
             table = self._counts = {}
@@ -108,7 +121,12 @@ class WordEncoder:
         for word in new:
             # the printable bytes of ASCII stand for themselves
             table[word] = len(tokenize(word if word.isascii() and word.isprintable() else "".join([symbols[b] for b in word.encode()])))
-        return sum(map(table.__getitem__, words))
+        table[_END] = -1
+        counts = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        ends = counts < 0
+        counts[ends] = 0
+        out[plain] = np.bincount(np.cumsum(ends), counts, len(plain))
+        return out
 
     def encode_and_decode(self, text: str) -> tuple[bytes, str]:
         """Ids as in ``encode``, and the text that the library decodes them to."""
