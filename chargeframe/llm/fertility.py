@@ -113,17 +113,19 @@ class Measures(NamedTuple):
     words_chars: float | None = None
 
 
-#: Stretches kept per Python worker, and the longest one kept.
-CACHE_STRETCHES, LONGEST_KEPT = 120_000, 48
-#: Where a text may be cut.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Stretches kept while a task runs (about 200 bytes each), and the longest one kept.
+CACHE_STRETCHES, LONGEST_KEPT = 300_000, 48
+#: Where a text may be cut. A space may also follow other white space, so texts without a loose one are cut at each.
+_CUT, _LOOSE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s")
 #: What the sentencepiece vocabulary writes for a space; texts with the character itself are not cut.
 _MARK = "\u2581"
 
 
 def _stretches(text: str) -> list[str]:
     """The parts of a text to encode on their own. The first one, which no space precedes, starts with a space to tell it apart."""
-    parts = [text] if _MARK in text else _CUT.split(text)
+    if _MARK in text:
+        return [" " + text]
+    parts = _CUT.split(text) if text[0] == " " or text[-1] == " " or _LOOSE.search(text) else text.split(" ")
     parts[0] = " " + parts[0]
     return parts
 
@@ -181,30 +183,32 @@ class Meter:
         self.pieces, self.words = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(PIECES)), encoder()
         byte = {f"<0x{b:02X}>" for b in range(256) if chr(b) not in SPACES}
         self.is_byte = np.array([self.pieces.id_to_piece(i) in byte for i in range(self.pieces.get_piece_size())])
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all stretches."""
         self.numbers: dict[str, int] = {}
         self.token_ids, self.piece_ids, self.n_words = _Ids(), _Ids(), np.empty(0, np.int64)
+        self.words.forget_counts()
 
     def _learn(self, stretches: set[str]) -> int:
         """Numbers and encodes what is not known; from the number returned on, stretches are too long to be kept."""
         new = [s for s in stretches if s not in self.numbers]
         if len(self.numbers) + len(new) > CACHE_STRETCHES:
-            self._clear()
+            self.clear()
             new = list(stretches)
-        short = [s for s in new if len(s) <= LONGEST_KEPT]
-        # stretches that white space neither starts nor ends can follow each other in one text
-        ends_in_space = [s[0] == " " or s[-1].isspace() for s in short]
-        joined = [s for s, alone in zip(short, ends_in_space) if not alone]
-        alone = [s for s, alone in zip(short, ends_in_space) if alone]
-        kept = len(self.numbers) + len(short)
-        alone += [s for s in new if len(s) > LONGEST_KEPT]
+        joined, alone, long = [], [], []
+        for s in new:
+            # stretches without a space that white space neither starts nor ends can follow each other in one text
+            (long if len(s) > LONGEST_KEPT else alone if " " in s or s[-1].isspace() or s[0].isspace() else joined).append(s)
+        kept = len(self.numbers) + len(joined) + len(alone)
+        alone += long
         if joined:
-            ids = np.asarray(self.vocabulary.encode_to_numpy(" " + " ".join(joined), disallowed_special=()))
-            at = np.cumsum(np.fromiter((len(s.encode()) + 1 for s in joined), np.int64, len(joined)))
-            upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), at, "right")
-            self.token_ids.add(ids, np.diff(upto, prepend=0))
+            text = " " + " ".join(joined)
+            ids = np.asarray(self.vocabulary.encode_to_numpy(text, disallowed_special=()))
+            begin = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(" "))
+            ends = np.cumsum(self.token_bytes[ids])
+            self.token_ids.add(ids, np.diff(np.searchsorted(ends - self.token_bytes[ids], begin), append=len(ids)))
         new = joined + alone
         found = [self.vocabulary.encode_ordinary(s[1:] if s[0] == " " else " " + s) for s in alone]
         for vocabulary, lists in ((self.token_ids, found), (self.piece_ids, self.pieces.encode([s[s[0] == " ":] for s in new], num_threads=1))):
@@ -383,6 +387,7 @@ def rate(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(found, _COLUMNS))],
                     ["doc_id", *(name for name, _ in _COLUMNS)])
+        meter.clear()
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in _COLUMNS))
@@ -398,5 +403,6 @@ def keep(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array([row[6] for row in _judge_all(part.column(at_column).to_pylist(), meter, bands)], pa.bool_()))
+        meter.clear()
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,6 +18,8 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per Python worker (about 200 bytes each, 350 where texts are decoded too).
 CACHE_WORDS = 120_000
+#: Words whose counts are kept (about 130 bytes each).
+COUNTED_WORDS = 300_000
 
 _PLAIN = "".join(c for c in map(chr, range(0x250)) if c in "\t\n\r" or (c >= " " and c not in "\x7fİ" and not "\x80" <= c <= "\x9f"))
 _OTHER = re.compile("[^" + re.escape(_PLAIN) + "]|<\\|")
@@ -106,15 +108,15 @@ class WordEncoder:
         """How many ids ``encode`` gives for each text; the words of all plain texts are split at once."""
         out, plain = np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
-            if _OTHER.search(text):
-                out[i] = len(self.library_ids(text))
-            else:
+            if (text.isascii() and text.isprintable() and "<" not in text) or not _OTHER.search(text):
                 plain.append(i)
+            else:
+                out[i] = len(self.library_ids(text))
         if not plain:
             return out
         words, table = _WORD_OR_END.findall(_END.join([texts[i] for i in plain]).lower()), self._counts
         new = set(words).difference(table)
-        if len(table) + len(new) > self.cache_words:
+        if len(table) + len(new) > COUNTED_WORDS:
             table = self._counts = {}
             new = set(words)
         tokenize, symbols = self.tokenizer.model.tokenize, self._symbols
@@ -128,6 +130,9 @@ class WordEncoder:
         out[plain] = np.bincount(np.cumsum(ends), counts, len(plain))
         return out
 
+    def forget_counts(self) -> None:
+        self._counts = {}
+
     def encode_and_decode(self, text: str) -> tuple[bytes, str]:
         """Ids as in ``encode``, and the text that the library decodes them to."""
         words = self._words(text, decoding=True)
