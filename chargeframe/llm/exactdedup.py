@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chargeframe.llm.memory import releasing
 from chargeframe.runtime import materialize, union_all
 
 #: Bytes of distinct text that one table holds.
@@ -201,7 +202,7 @@ def groups(docs: DataFrame, table_bytes: int = TABLE_BYTES, bucket_bytes: int =
     group are. An empty table gives an empty result; other columns are ignored.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    spill = materialize(narrow.mapInArrow(_local(table_bytes), _FIRST_DDL), "grace-0")
+    spill = materialize(narrow.mapInArrow(releasing(_local(table_bytes)), _FIRST_DDL), "grace-0")
     rows = spill.filter(F.col("n").isNull()).select("uid", "doc_id", "row")
     records = spill.filter(F.col("n").isNotNull())
     resolved, level = [], 0
@@ -212,7 +213,7 @@ def groups(docs: DataFrame, table_bytes: int = TABLE_BYTES, bucket_bytes: int =
         level += 1
         buckets = size // bucket_bytes + 1
         dealt = records.repartition(buckets, F.xxhash64("digest", F.lit(level)))
-        out = materialize(dealt.mapInArrow(_bucket(table_bytes), _LEVEL_DDL), f"grace-{level}")
+        out = materialize(dealt.mapInArrow(releasing(_bucket(table_bytes)), _LEVEL_DDL), f"grace-{level}")
         resolved.append(out.filter(F.col("group_size").isNotNull()).select("uid", "keep_id", "keep_row", "group_size", "digest"))
         records = out.filter(F.col("group_size").isNull()).select(*_FIRST.names)
     if not resolved:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chargeframe.llm.memory import releasing
 from chargeframe.llm.shingles import mix, windows, word_hashes
 from chargeframe.llm.wordbpe import encoder, vocabulary_path
 
@@ -390,7 +391,7 @@ def rate(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None
         meter.clear()
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in _COLUMNS))
+    return narrow.mapInArrow(releasing(run), "doc_id long, " + ", ".join(f"{n} {k}" for n, k in _COLUMNS))
 
 
 def keep(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None = None, text: str = "text") -> DataFrame:
@@ -405,4 +406,4 @@ def keep(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None
                 yield part.filter(pa.array([row[6] for row in _judge_all(part.column(at_column).to_pylist(), meter, bands)], pa.bool_()))
         meter.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

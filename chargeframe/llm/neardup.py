@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeframe.llm.components import components
+from chargeframe.llm.memory import releasing
 from chargeframe.llm.shingles import MinHasher, overlap, shingle_sets
 from chargeframe.runtime import materialize, small_side
 
@@ -218,13 +219,13 @@ class _Search:
         pairs = self.members.filter("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
         side = self.reps.select("rid", "v", "sketch")
         both = pairs.join(side.toDF("a", "v_a", "sketch_a"), "a").join(side.toDF("b", "v_b", "sketch_b"), "b")
-        return both.mapInPandas(_likely(self.share), "a long, b long")
+        return both.mapInPandas(releasing(_likely(self.share)), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked by their full sets."""
         sets = self.sets.select("rid", "shingles")
         both = pairs.distinct().join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return materialize(both.mapInPandas(_linked(self.percent), "a long, b long"), "links")
+        return materialize(both.mapInPandas(releasing(_linked(self.percent)), "a long, b long"), "links")
 
     def labelled(self, labels: DataFrame) -> DataFrame:
         found = self.members.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
@@ -244,7 +245,7 @@ class _Search:
         keys = ["bucket_u", "bucket_v", "first", "second"]
         dealt = keyed.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).select(
             *keys, "block", "rid", "label", "n_shingles", "u", "v", "sketch", "prints").repartition(*keys).sortWithinPartitions(*keys)
-        return dealt.mapInPandas(_blocks(self.percent, self.share), "a long, b long")
+        return dealt.mapInPandas(releasing(_blocks(self.percent, self.share)), "a long, b long")
 
     def labels(self) -> DataFrame:
         links = self.confirmed(self.stars())
@@ -265,7 +266,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # rows that share an id, null for one, are told apart by a hash of their text
     narrow = narrow.withColumn("mark", F.xxhash64("text"))
-    base = materialize(narrow.mapInArrow(_scan(shingle, rows, tables), _BASE_DDL), "shingled")
+    base = materialize(narrow.mapInArrow(releasing(_scan(shingle, rows, tables)), _BASE_DDL), "shingled")
     filled = base.filter("n_shingles > 0")
     firsts = filled.filter(F.col("u").isNotNull())
     per_set = filled.groupBy("digest").agg(F.min("uid").alias("rid"), F.min("doc_id").alias("low"))
@@ -278,7 +279,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows
     wanted = heads.join(members.select("rid").distinct(), "rid").select("rid", "digest", "doc_id", "mark")
     texts = narrow.join(small_side(wanted.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     texts = texts.select("rid", "digest", "text")
-    sets = materialize(texts.mapInArrow(_sets(shingle), "rid long, shingles binary, prints binary").dropDuplicates(["rid"]), "full-sets")
+    sets = materialize(texts.mapInArrow(releasing(_sets(shingle)), "rid long, shingles binary, prints binary").dropDuplicates(["rid"]), "full-sets")
     labels = _Search(reps, members, sets, percent, share, block, split).labels()
     found = owner.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
         "uid", F.coalesce("label", "rid").alias("label"), "low")

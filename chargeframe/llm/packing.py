@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chargeframe.llm.memory import releasing
 from chargeframe.llm.wordbpe import encoder
 from chargeframe.runtime import materialize, union_all
 
@@ -93,7 +94,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     unsigned 32-bit integers if asked for. A null or empty text is the end id alone."""
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return narrow.mapInArrow(_cut(path, capacity, end_id, with_ids), ddl)
+    return narrow.mapInArrow(releasing(_cut(path, capacity, end_id, with_ids)), ddl)
 
 
 def _lane(capacity: int):
