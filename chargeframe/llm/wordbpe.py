@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -24,6 +27,15 @@ COUNTED_WORDS = 300_000
 _PLAIN = "".join(c for c in map(chr, range(0x250)) if c in "\t\n\r" or (c >= " " and c not in "\x7fİ" and not "\x80" <= c <= "\x9f"))
 _OTHER = re.compile("[^" + re.escape(_PLAIN) + "]|<\\|")
 
+_PLAIN_ASCII = "".join(filter(str.isascii, _PLAIN)).encode()
+
+
+def _is_plain(text: str) -> bool:
+    """Whether a text has no special token and no character outside the plain Latin range."""
+    if text.isascii():
+        return "<|" not in text and not text.encode().translate(None, _PLAIN_ASCII)
+    return not _OTHER.search(text)
+
 
 def _class(kind: str) -> str:
     """The characters of a Unicode kind that lower-cased plain text can hold."""
@@ -46,6 +58,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -66,6 +86,7 @@ class WordEncoder:
         self._symbols = byte_symbols()
         self._ids: dict[str, bytes] = {}
         self._tokens: dict[str, str] = {}
+        self._old_ids, self._old_tokens = self._ids, self._tokens
         self._counts: dict[str, int] = {}
 
     def library_ids(self, text: str) -> list[int]:
@@ -74,20 +95,29 @@ class WordEncoder:
     def _learn(self, words: list[str], decoding: bool) -> None:
         """Put the words of one text into the table, which holds them until the next call.
 
-        Their decoded tokens have a table of their own, which is only filled where they are asked for."""
+        Their decoded tokens have a table of their own, which is only filled where they are asked for. A table
+        with half of the words becomes the old one, from which words met again are taken over."""
         table = self._tokens if decoding else self._ids
-        new = set(words).difference(table)
-        if len(table) + len(new) > self.cache_words:
+        new = set(filterfalse(table.__contains__, words))
+        if len(table) + len(new) > self.cache_words // 2:
+            self._old_ids, self._old_tokens = self._ids, self._tokens
             self._ids, self._tokens, new = {}, {}, set(words)
-        model, symbols = self.tokenizer.model, self._symbols
+        old = self._old_tokens if decoding else self._old_ids
+        tokenize, symbols = self.tokenizer.model.tokenize, self._symbols
         for word in new:
-            tokens = model.tokenize("".join([symbols[b] for b in word.encode()]))
-            self._ids[word] = np.array([t.id for t in tokens], "<u4").tobytes()
+            if word in old:
+                self._ids[word] = self._old_ids[word]
+                if decoding:
+                    self._tokens[word] = old[word]
+                continue
+            # the printable bytes of ASCII stand for themselves
+            tokens = tokenize(word if word.isascii() and word.isprintable() else "".join([symbols[b] for b in word.encode()]))
+            self._ids[word] = _bytes([t.id for t in tokens])
             if decoding:
                 self._tokens[word] = " ".join([t.value for t in tokens])
 
     def _words(self, text: str, decoding: bool = False) -> list[str] | None:
-        if _OTHER.search(text):
+        if not _is_plain(text):
             return None
         words = _WORD.findall(text.lower())
         self._learn(words, decoding)

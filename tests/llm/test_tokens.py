@@ -5,8 +5,8 @@ import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from chargeframe.llm import bpe, fertility, packing
-from chargeframe.llm.wordbpe import encoder
+from chargeframe.llm import bpe, fertility, packing, wordbpe
+from chargeframe.llm.wordbpe import WordEncoder, encoder
 from tests.llm import brute
 from tests.llm.conftest import ROWS, SF
 
@@ -28,6 +28,34 @@ def test_word_table_equals_the_library(text):
     assert decoded == TOKENIZER.decode(_ids(text), skip_special_tokens=False)
 
 
+class _Counting:
+    """A tokenizer that notes the words its model is asked for."""
+
+    def __init__(self, tokenizer):
+        self.model, self.own, self.asked = self, tokenizer.model, []
+
+    def tokenize(self, word):
+        self.asked.append(word)
+        return self.own.tokenize(word)
+
+
+@pytest.mark.parametrize("decoding", [False, True])
+def test_a_frequent_word_is_encoded_once_though_the_table_fills(decoding):
+    code = WordEncoder(cache_words=12)
+    counting = code.tokenizer = _Counting(code.tokenizer)
+    texts = ["common " + " ".join(f"{a}{b}" for b in "xyz") for a in "abcdefgh"]
+    for text in texts:
+        assert (code.encode_and_decode(text)[0] if decoding else code.encode(text)) == brute.ids_bytes(_ids(text))
+        assert len(code._ids) + len(code._old_ids) <= 12
+    assert counting.asked.count("common") == 1 and len(counting.asked) == 1 + 3 * len(texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x260), max_size=6) | st.text("<|a\x00\x7f\n é", max_size=4))
+def test_plain_texts_are_those_without_other_characters(text):
+    assert wordbpe._is_plain(text) == (not wordbpe._OTHER.search(text))
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT, st.integers(1, 20), st.integers(1, 8))
 @example("a" * 500, 7, 1)
