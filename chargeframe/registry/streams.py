@@ -10,7 +10,7 @@ from chargeframe.registry import features
 from chargeframe.registry.book import Book, table
 from chargeframe.registry.modelling import QUICK, _table
 from chargeframe.registry.sql import BASE, SESSIONS, with_ctes
-from chargeframe.runtime import scratch_path
+from chargeframe.runtime import scratch_path, spread
 from chargeframe.streaming import jobs, replies
 
 B = Book()
@@ -40,7 +40,7 @@ def incremental_augment(spark, sf):
 @B.query("incremental_replies", features.ORACLE["merge_augmented"])
 def incremental_replies(spark, sf):
     """Sessions first with a part of the replies, then the other replies, after their timers ran out."""
-    sessions = adapters.sessions(spark, sf)
+    sessions = adapters.augmented(adapters.base_sessions(spread(table(spark, sf, "events"), "event_id")))
     answers = adapters.retried(adapters.replies(sessions))
     inbox, out, progress = (scratch_path(spark, n) for n in ("replies", "versions", "replies-progress"))
     early = F.pmod(F.xxhash64("sessionID", "attempt"), F.lit(2)) == 0

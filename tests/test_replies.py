@@ -126,3 +126,33 @@ def test_long_patience_waits(spark, tmp_path):
     jobs.run()
     assert jobs.versions().count() == 0
     assert all(r[1] for r in jobs.result()) and len(jobs.result()) == len(SESSIONS)
+
+
+def test_sessions_of_a_bucket_are_one_call(spark, tmp_path, want, monkeypatch):
+    """Calls go with the buckets, not with the sessions; each session of a bucket keeps its own timer and versions."""
+    monkeypatch.setattr(R, "BUCKETS", 2)
+    calls = spark.sparkContext.accumulator(0)
+    step = R._step
+
+    def counted(patience_ms):
+        inner = step(patience_ms)
+
+        def run(group, events, state):
+            calls.add(1)
+            yield from inner(group, events, state)
+
+        return run
+
+    monkeypatch.setattr(R, "_step", counted)
+    jobs = Landing(spark, tmp_path, 1)
+    jobs.land(sessions=SESSIONS[:20], replies=REPLIES[::2])
+    jobs.run()
+    time.sleep(0.01)
+    jobs.land(sessions=SESSIONS[20:], replies=REPLIES[1::2])
+    jobs.run()
+    time.sleep(0.01)
+    jobs.land(tick=True)
+    jobs.run()
+    assert 2 <= calls.value <= 6
+    assert jobs.result() == want
+    assert jobs.versions().groupBy("sessionID", "version").count().filter("count > 1").isEmpty()
