@@ -21,6 +21,10 @@ def _events_stream(spark, sf):
     return jobs.session_stream(spark, sf, table(spark, sf, "events").schema, glob="events.parquet")
 
 
+def _spread_sessions(events):
+    return adapters.augmented(adapters.base_sessions(spread(events, "event_id")))
+
+
 @B.query("incremental_augment", with_ctes("""
 SELECT "sessionID", urgency_score, round(flexibility_index, 9) AS flexibility_index,
   round(habit_stability, 9) AS habit_stability,
@@ -40,7 +44,7 @@ def incremental_augment(spark, sf):
 @B.query("incremental_replies", features.ORACLE["merge_augmented"])
 def incremental_replies(spark, sf):
     """Sessions first with a part of the replies, then the other replies, after their timers ran out."""
-    sessions = adapters.augmented(adapters.base_sessions(spread(table(spark, sf, "events"), "event_id")))
+    sessions = _spread_sessions(table(spark, sf, "events"))
     answers = adapters.retried(adapters.replies(sessions))
     inbox, out, progress = (scratch_path(spark, n) for n in ("replies", "versions", "replies-progress"))
     early = F.pmod(F.xxhash64("sessionID", "attempt"), F.lit(2)) == 0
@@ -59,9 +63,9 @@ def stream_score(spark, sf):
     model = P.fit_forecaster(_table(spark, sf), **QUICK)
     out, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "score-progress")
     cols = ["sessionID", "pred_point", "pred_median", "lower_conformal", "upper_conformal"]
-    arriving = adapters.augmented(adapters.base_sessions(_events_stream(spark, sf)))
+    arriving = _spread_sessions(_events_stream(spark, sf))
     jobs.stream_score(arriving, model, out, checkpoint, lambda df: df.select(*cols))
-    batch = model.score(adapters.sessions(spark, sf)).select("sessionID", *[F.col(c).alias(f"b_{c}") for c in cols[1:]])
+    batch = model.score(_spread_sessions(table(spark, sf, "events"))).select("sessionID", *[F.col(c).alias(f"b_{c}") for c in cols[1:]])
     joined = batch.join(spark.read.parquet(out), "sessionID", "full")
     same = F.lit(True)
     for c in cols[1:]:
